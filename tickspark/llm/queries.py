@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality, simhash, url_filter
+from . import ann, langid, packing, pii, quality, sentencepiece_fst, simhash, token_counts, url_filter
 from .common import table
 
 
@@ -18,10 +18,30 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.encode(table(spark, sf_dir, "documents"))
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.corpus_counts(spark, sf_dir)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -29,7 +49,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_ann": op4_ann,
     "op6_quality": op6_quality,
+    "op7_packing": op7_packing,
+    "op8_token_counts": op8_token_counts,
+    "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE_SQL = {"op6_quality": quality.ORACLE_SQL, "op10_url_filter": url_filter.ORACLE_SQL}
+ORACLE_SQL = {"op6_quality": quality.ORACLE_SQL, "op8_token_counts": token_counts.ORACLE_SQL, "op10_url_filter": url_filter.ORACLE_SQL}
