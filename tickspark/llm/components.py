@@ -28,7 +28,7 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) bigint pairs, in any order and with repeats, to (node, root): the least node of the component, for all nodes but the roots."""
-    ordered = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    ordered = settled(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     while True:
         ordered = settled(_small(_large(ordered)), "stars")

@@ -35,6 +35,8 @@ SHINGLE = 3
 #: Fingerprints in a bucket before it is split.
 BUCKET = 4096
 FAN = 8
+#: Fingerprints, the commonest, whose components are broadcast: a table of at most so many rows of 16 bytes.
+HOT = 1000
 #: Pairs of nodes looked at together.
 FRONTIER = 1 << 17
 
@@ -235,11 +237,15 @@ def links(nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the least doc_id of the component) of every row."""
     fps = settled(fingerprints(docs), "fingerprints")
-    nodes = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    nodes = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     roots = components(links(nodes))
-    named = nodes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return fps.join(named, "fp", "left").select("doc_id", hexed, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = nodes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", "n", F.coalesce("root", "rep").alias("component_id"))
+    # The commonest fingerprints, of copies, are looked up where their rows are; no other has over one in HOT of all rows.
+    hot = named.orderBy(F.desc("n"), "fp").limit(HOT).select("fp", F.col("component_id").alias("hot_id"))
+    looked = fps.join(F.broadcast(hot), "fp", "left")
+    rest = looked.where("hot_id is null").drop("hot_id").join(named.drop("n"), "fp", "left")
+    found = looked.where("hot_id is not null").select("fp", "doc_id", F.col("hot_id").alias("component_id")).unionByName(rest)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
