@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, langid, packing, pii, quality, sentencepiece_fst, simhash, token_counts, url_filter
+from . import ann, langid, packing, pii, quality, sentencepiece_fst, simhash, suffix_dedup, token_counts, url_filter
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.duplicated_spans(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_ann": op4_ann,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
