@@ -298,7 +298,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # --- SQL -----------------------------------------------------------------------------------------------------------
 
 _T = """t as (select row_number() over (order by ts, event_id) as seq, row_number() over (partition by user_id order by ts, event_id) as user_seq,
-  event_id, event_type, 'u' || user_id as symbol, epoch_ms(ts) as ts_ms, value as price, round_even(value / 0.01, 0)::bigint as price_tick,
+  event_id, event_type, 'u' || user_id as symbol, epoch_us(ts) // 1000 as ts_ms, value as price, round_even(value / 0.01, 0)::bigint as price_tick,
   (regexp_extract(props, '[0-9]+')::int + 1) / 100 as qty, trunc((regexp_extract(props, '[0-9]+')::int + 1) / 100 * 1e6)::bigint as qty_scaled,
   case when regexp_extract(props, '[0-9]+')::int % 2 = 1 then 'SELL' else 'BUY' end as side from events)"""
 _O = """o as (select seq * 4 as order_seq, seq as placed, 'MARKET' as order_type, 'BUY' as side, 1500000::bigint as q, null::bigint as lim from t where event_type = 'purchase' and price > 150
