@@ -76,12 +76,12 @@ class Corpus:
     """The documents of a bucket, in order of (doc_id, hash of the text), as one run of bytes."""
 
     def __init__(self, table: pa.Table):
-        ids = table["doc_id"].to_numpy()
-        order = np.lexsort((table["th"].to_numpy(), ids))
-        texts = table["text"].to_pylist()
+        real = table["_id"].is_valid().to_numpy()
+        ids = table["_id"].fill_null(0).to_numpy()
+        self.order = order = np.lexsort((table["_th"].to_numpy(), ids))
+        texts = table["_text"].to_pylist()
         self.texts = [texts[i] or b"" for i in order]
-        self.ids = ids[order].astype(np.int64)
-        self.real = table["doc_id"].is_valid().to_numpy()[order] if table["doc_id"].null_count else np.ones(len(order), bool)
+        self.ids, self.real = ids[order], real[order]
         self.bytes = np.frombuffer(b"".join(self.texts), np.uint8)
         self.size = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
         self.end = np.cumsum(self.size)
@@ -193,7 +193,7 @@ def _anchor_rows(parts: int):
     def run(table: pa.Table) -> pa.Table:
         c = Corpus(table)
         a = _local(c)
-        bucket = table["bucket"][0].as_py()
+        bucket = table["_bucket"][0].as_py()
         sent = np.flatnonzero(a["lead"])
         rows = []
         for r, k in _split(a["h"][sent], parts):
@@ -264,7 +264,7 @@ def _context_rows(parts: int):
         if not len(table):
             return _FIELDS.empty_table()
         c = Corpus(table)
-        bucket = table["bucket"][0].as_py()
+        bucket = table["_bucket"][0].as_py()
         a, dup, open_ = _told(c, told)
         rows = []
         lo, hi = _merged(a["s"][dup], a["e"][dup])
@@ -457,50 +457,56 @@ def _digest(table: pa.Table, found: pa.Table) -> pa.Table:
     return pa.table({"doc_id": ids, "n_bytes": c.size, "n_removed": gone, "n_spans": np.diff(cut), "kept_sha256": pa.array(sha, pa.string())})
 
 
-def _kept_text(table: pa.Table, found: pa.Table) -> pa.Table:
-    """doc_id, hash of the text and the text that is left, for documents that lose something; broken characters are dropped."""
-    c = Corpus(table)
-    lo, hi, doc = _removed(c, found)
-    out = []
-    for k in np.unique(doc).tolist():
-        at, parts = 0, []
-        for i in range(np.searchsorted(doc, k), np.searchsorted(doc, k, side="right")):
-            parts.append(c.texts[k][at : int(lo[i] - c.start[k])])
-            at = int(hi[i] - c.start[k])
-        parts.append(c.texts[k][at:])
-        out.append((int(c.ids[k]), c.texts[k], b"".join(parts).decode(errors="ignore")))
-    ids, old, new = zip(*out, strict=True) if out else ((), (), ())
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "old": pa.array(old, pa.binary()), "text": pa.array(new, pa.string())})
+def _kept(columns: list[str]):
+    """Step 4: the rows of a bucket with what is left of their text; a character that loses a byte goes whole."""
+
+    def run(table: pa.Table, found: pa.Table) -> pa.Table:
+        c = Corpus(table)
+        lo, hi, doc = _removed(c, found)
+        rows = table.take(pa.array(c.order))
+        text = rows["_text"].to_pylist()
+        cut = np.searchsorted(doc, np.arange(len(text) + 1))
+        hit = np.flatnonzero(np.diff(cut))
+        for k in hit.tolist():
+            at, parts = 0, []
+            for i in range(cut[k], cut[k + 1]):
+                parts.append(text[k][at : int(lo[i] - c.start[k])])
+                at = int(hi[i] - c.start[k])
+            parts.append(text[k][at:])
+            text[k] = b"".join(parts).decode(errors="ignore").encode()
+        out = {n: rows[n] if n in rows.column_names else None for n in columns}
+        out["text"] = pa.array(text, pa.binary()).cast(pa.string())
+        if "n_chars" in out:
+            n = rows["n_chars"].to_pylist()
+            for k in hit.tolist():
+                n[k] = len(text[k].decode())
+            out["n_chars"] = pa.array(n, rows["n_chars"].type)
+        return pa.table(out)
+
+    return run
 
 
 def _dealt(docs: DataFrame) -> DataFrame:
-    """doc_id, text, th and the bucket of every document."""
+    """docs with the id, the bytes and the hash of the text and the bucket, but without the text itself."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    th = F.xxhash64("text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), th.alias("th"))
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "th"), F.lit(max(1, math.ceil(total / BUCKET)))).cast("long"))
+    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.col("text").cast("binary"), "_th": F.xxhash64("text")}).drop("text")
+    return rows.withColumn("_bucket", F.pmod(F.xxhash64("_id", "_th"), F.lit(max(1, math.ceil(total / BUCKET)))).cast("long"))
 
 
-def _apply(docs: DataFrame, last, kind: str) -> DataFrame:
-    dealt = _dealt(docs)
-    parts = shuffle_partitions(docs.sparkSession)
-    sent = dealt.groupBy("bucket").applyInArrow(_anchor_rows(parts), MESSAGE)
+def _apply(dealt: DataFrame, last, kind: str) -> DataFrame:
+    parts = shuffle_partitions(dealt.sparkSession)
+    sent = dealt.groupBy("_bucket").applyInArrow(_anchor_rows(parts), MESSAGE)
     told = sent.groupBy("r").applyInArrow(_anchor_verdicts, MESSAGE)
-    open_ = dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_context_rows(parts), MESSAGE)
+    open_ = dealt.groupBy("_bucket").cogroup(told.groupBy("bucket")).applyInArrow(_context_rows(parts), MESSAGE)
     found = open_.groupBy("r").applyInArrow(_compare, MESSAGE)
-    return dealt.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(last, kind)
+    return dealt.groupBy("_bucket").cogroup(found.groupBy("bucket")).applyInArrow(last, kind)
 
 
 def duplicated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    return _apply(docs, _digest, RESULT)
+    return _apply(_dealt(docs).select("_id", "_text", "_th", "_bucket"), _digest, RESULT)
 
 
 def remove_duplicated(docs: DataFrame) -> DataFrame:
-    """docs without the bytes that an earlier document has too; the same columns. A character that loses a byte goes whole."""
-    change = _apply(docs, _kept_text, "doc_id bigint, old binary, text string")
-    new = change.select(F.col("doc_id").alias("_id"), F.xxhash64(F.col("old").cast("string")).alias("_th"), F.col("text").alias("_new")).dropDuplicates(["_id", "_th"])
-    out = docs.join(new, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left")
-    text = F.coalesce("_new", "text")
-    cols = [text.alias("text") if c == "text" else F.when(F.col("_new").isNotNull(), F.length("_new").cast("long")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*cols)
+    """docs without the bytes that an earlier document has too; the same columns."""
+    return _apply(_dealt(docs), _kept(docs.columns), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
