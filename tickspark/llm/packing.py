@@ -40,6 +40,8 @@ SHARD = 1 << 16
 UNIT = 8
 #: Pieces of at most so many tokens are left out of the program; they fill the room that is left.
 FILLER = 64
+#: Word stems that a worker keeps.
+STEMS = 1_000_000
 #: Column generation ends when the bound shows it within this share of the optimum.
 GAP = 1e-3
 
@@ -61,8 +63,27 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        encode = Tokenizer.from_file(path).encode_batch
-        self.cache = IdCache(lambda words: [e.ids for e in encode([w.decode() for w in words], add_special_tokens=False)])
+        tokenizer = Tokenizer.from_file(path)
+        self.encode_batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        self.stems: dict[bytes, list[int]] = {}
+        self.cache = IdCache(self._words)
+
+    def _words(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words. ASCII words are lower-cased, as the tokenizer does, and a full stop or comma after a letter or
+        digit, which it always parts from the word, is looked up on its own, so fewer words have to be encoded."""
+        parts = []
+        for w in words:
+            if w.isascii() and b"<" not in w:
+                w = w.lower()
+            parts.append((w[:-1], w[-1:]) if len(w) > 1 and w[-1:] in (b".", b",") and w[-2:-1].isalnum() else (w, b""))
+        new = list({p: None for pair in parts for p in pair if p and p not in self.stems})
+        if new:
+            ids = self.encode_batch([w.decode() for w in new], add_special_tokens=False)
+            self.stems.update((w, e.ids) for w, e in zip(new, ids, strict=True))
+        out = [self.stems[w] + self.stems[t] if t else self.stems[w] for w, t in parts]
+        if len(self.stems) > STEMS:
+            self.stems.clear()
+        return out
 
     def encode(self, text: bytes | None) -> np.ndarray:
         """Ids of a text with the end id."""
