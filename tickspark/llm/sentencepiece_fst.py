@@ -88,14 +88,19 @@ class Transducer:
             raise ValueError("a piece continues over the start of a word")
         self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kind, strict=True)) if k == BYTE}
         self.unknown = self.kind.index(UNKNOWN)
-        self.longest = max(map(len, self.id), default=1)
         low = min((self.score[i] for i in self.id.values()), default=0.0)
         self.unknown_weight = 10.0 - low
         self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kind, strict=True)]
-        self.apart = lru_cache(1 << 20)(self._apart)
+        self.apart: dict[str, dict[str, bool]] = {}
+        # For the last two characters of a piece, the lengths of the pieces that end in them, longest first.
+        tails: dict[str, set[int]] = {}
+        for p in self.id:
+            if len(p) > 1:
+                tails.setdefault(p[-2:], set()).add(len(p))
+        self.lengths = {t: sorted(n, reverse=True) for t, n in tails.items()}
         self.cache = IdCache(lambda units: [self.shortest(u) for u in units])
 
-    def _apart(self, left: str, right: str) -> bool:
+    def stay_apart(self, left: str, right: str) -> bool:
         """Whether the merge rules leave these two neighbours as they are: best score first, then leftmost."""
         s = list(left + right)
         while True:
@@ -109,27 +114,56 @@ class Transducer:
             i = best[1]
             s[i : i + 2] = [s[i] + s[i + 1]]
 
-    def arcs(self, unit: str, end: int) -> Iterator[tuple[int, str, float]]:
-        """(start, piece, weight) of the arcs into a position, the longest first; a lone character can always be spelt."""
-        for n in range(min(self.longest, end), 0, -1):
-            piece = unit[end - n : end]
-            k = self.id.get(piece)
-            if k is not None:
-                yield end - n, piece, 0.0 if self.type == BPE else -self.score[k]
-            elif n == 1:
-                yield end - 1, piece, 0.0 if self.type == BPE else self.unknown_weight
+    def arcs(self, unit: str, end: int) -> Iterator[tuple[int, str]]:
+        """(start, piece) of the arcs into a position, the longest first; a lone character can always be spelt."""
+        for n in self.lengths.get(unit[end - 2 : end], ()) if end > 1 else ():
+            if n <= end and unit[end - n : end] in self.id:
+                yield end - n, unit[end - n : end]
+        yield end - 1, unit[end - 1]
+
+    def _bpe_path(self, unit: str) -> list[str]:
+        """The last piece of the shortest path to each position: the one arc into it that weighs 0."""
+        last, ids, lengths, apart = [""], self.id, self.lengths, self.apart
+        for end in range(1, len(unit) + 1):
+            for n in lengths.get(unit[end - 2 : end], ()) if end > 1 else ():
+                piece = unit[end - n : end]
+                if n > end or piece not in ids:
+                    continue
+                left = last[end - n]
+                if not left:
+                    break
+                row = apart.get(left)
+                if row is None:
+                    row = apart[left] = {}
+                free = row.get(piece)
+                if free is None:
+                    free = row[piece] = self.stay_apart(left, piece)
+                if free:
+                    break
+            else:
+                # Of all arcs into a position one is finite; if none of the longer ones is, it is the lone character.
+                piece = unit[end - 1]
+            last.append(piece)
+        return last
+
+    def _unigram_path(self, unit: str) -> list[str]:
+        """The last piece of the shortest path to each position, an arc weighing the negative score of its piece."""
+        far, last = [0.0], [""]
+        for end in range(1, len(unit) + 1):
+            best = math.inf, ""
+            for start, piece in self.arcs(unit, end):
+                k = self.id.get(piece)
+                weight = far[start] + (self.unknown_weight if k is None else -self.score[k])
+                if weight < best[0]:
+                    best = weight, piece
+            far.append(best[0])
+            last.append(best[1])
+        return last
 
     def shortest(self, unit: str) -> list[int]:
         """Ids along the shortest path through the lattice of one word."""
-        n = len(unit)
-        far, last = [0.0] + [math.inf] * n, [""] * (n + 1)
-        for end in range(1, n + 1):
-            for start, piece, weight in self.arcs(unit, end):
-                if self.type == BPE and start and not self.apart(last[start], piece):
-                    continue
-                if far[start] + weight < far[end]:
-                    far[end], last[end] = far[start] + weight, piece
-        path, end = [], n
+        last = self._bpe_path(unit) if self.type == BPE else self._unigram_path(unit)
+        path, end = [], len(unit)
         while end:
             path.append(last[end])
             end -= len(last[end])
