@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE, LANGUAGES = 2000, 256
+SAMPLE, LANGUAGES, SHARES = 2000, 256, 40
 #: N-grams are hashed into so many bits.
 BITS = 16
 #: Natural-log cost of a change of language.
@@ -190,9 +190,13 @@ def train(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) ->
     rows = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
     names = [r[0] for r in most.collect()]
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = rows.where(F.col("lang").isin(names)).select("lang", "doc_id").withColumn("place", place).where(F.col("place") <= sample).select(F.col("lang").alias("l"), F.col("doc_id").alias("d"))
-    taken = rows.join(ids.distinct(), (F.col("doc_id") == F.col("d")) & (F.col("lang") == F.col("l")), "left_semi").select("lang", "text")
+    # The first by hash in each of SHARES shares of a language, so that no task orders a whole language.
+    key = F.xxhash64("doc_id")
+    place = F.row_number().over(Window.partitionBy("lang", "share").orderBy("key", "doc_id"))
+    ids = rows.where(F.col("lang").isin(names)).select("lang", "doc_id", key.alias("key"), F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(SHARES)).alias("share"))
+    ids = ids.withColumn("place", place).where(F.col("place") <= max(1, sample // SHARES)).select(F.col("lang").alias("l"), F.col("doc_id").alias("d")).distinct()
+    # At most LANGUAGES times SAMPLE ids.
+    taken = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("d")) & (F.col("lang") == F.col("l")), "left_semi").select("lang", "text")
     kind = "lang string, two binary, three binary, script binary"
     # Two rounds, so that the driver gets one row of each language, not one from every task.
     table = taken.mapInArrow(_counts, kind).repartition(min(16, max(1, len(names))), "lang").mapInArrow(_summed, kind).collect()
