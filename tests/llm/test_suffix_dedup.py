@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tickspark.llm import suffix_dedup as s
@@ -81,10 +82,36 @@ def noisy(seed, docs, alphabet, passages):
 
 
 @pytest.mark.parametrize(("seed", "alphabet"), [(1, "ab"), (2, "abcdefgh"), (3, "aé"), (4, "a")])
-@pytest.mark.parametrize("bucket", [300, 8 << 20])
-def test_borders_edits_and_runs(spark, monkeypatch, seed, alphabet, bucket):
+@pytest.mark.parametrize(("bucket", "texts"), [(300, 48), (300, 1), (8 << 20, 3)])
+def test_borders_edits_and_runs(spark, monkeypatch, seed, alphabet, bucket, texts):
     monkeypatch.setattr(s, "BUCKET", bucket)
-    check(spark, noisy(seed, 60, alphabet, 5))
+    rows = noisy(seed, 60, alphabet, 5)
+    check(spark, rows)
+    # The same contexts with other bounds on a suffix array: the reducer's part on its own.
+    monkeypatch.setattr(s, "TEXTS", texts)
+    c = contexts(rows)
+    c.settle(np.arange(len(c.key)), np.unique(c.key, return_inverse=True)[1], -s.LEFT, 0)
+    got = {(r, x) for who, lo, hi in c.found for r, a, b in zip(who.tolist(), lo.tolist(), hi.tolist(), strict=True) for x in range(a, b)}
+    first = {}
+    strings = [(i, k, bytes(c.text[k, s.LEFT + a : s.LEFT + a + N]), a) for k in range(len(c.key)) for i in [int(c.ids[k])] for a in range(-int(c.before[k]), int(c.after[k]) - N + 1)]
+    for i, k, w, _ in strings:
+        first[c.key[k], w] = min(first.get((c.key[k], w), i), i)
+    want = {(int(c.row[k]), int(c.at[k]) + x) for i, k, w, a in strings if first[c.key[k], w] < i for x in range(a, a + N)}
+    assert got == want
+
+
+def contexts(rows):
+    """Every context of these rows as one message of one bucket a document."""
+    messages = []
+    for j, (i, t) in enumerate(sorted(rows)):
+        t = t.encode()
+        c = s.Corpus(pa.table({"_id": pa.array([i], pa.int64()), "_text": pa.array([t], pa.binary()), "_th": pa.array([0], pa.int64()), "_bucket": [j]}))
+        a = s._local(c)
+        raw = b"".join(t[x:y] for x, y in zip(a["s"].tolist(), a["e"].tolist(), strict=True))
+        meta = np.stack([a["at"] - a["s"], a["e"] - a["at"]], axis=1).astype(np.uint8)
+        if len(a["at"]):
+            messages.append({"n": len(a["at"]), "a": s._pack(a["h"], True), "b": s._pack(a["ids"]), "c": s._pack(a["at"].astype("<u4")), "d": s._pack(meta.view("<u2").ravel()), "e": pa.compress(raw, codec="zstd", asbytes=True)})
+    return s.Contexts(messages)
 
 
 def test_odd_rows(spark, monkeypatch):

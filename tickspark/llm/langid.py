@@ -201,13 +201,15 @@ def train(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) ->
     # Two rounds, so that the driver gets one row of each language, not one from every task.
     table = taken.mapInArrow(_counts, kind).repartition(min(16, max(1, len(names))), "lang").mapInArrow(_summed, kind).collect()
     table.sort(key=lambda r: r["lang"])
-    count = {n: np.array([np.frombuffer(r[n], "<i8") for r in table], float).reshape(len(table), -1).T for n in ("two", "three", "script")}
+    if not table:
+        return Model([], *(np.zeros((1 << BITS, 0), np.float32),) * 2, np.zeros((len(SCRIPTS) + 1, 0), bool))
+    count = {n: np.array([np.frombuffer(r[n], "<i8") for r in table], float).T for n in ("two", "three", "script")}
     logs = {}
     for n in ("two", "three"):
         c = count[n] + 0.5
-        p = np.log(c / c.sum(axis=0)) if len(table) else c
-        logs[n] = (p - p.mean(axis=1, keepdims=True) if len(table) else p).astype(np.float32)
-    own = count["script"] > OWN_SCRIPT * count["script"].sum(axis=0) if len(table) else np.zeros((len(SCRIPTS) + 1, 0), bool)
+        p = np.log(c / c.sum(axis=0))
+        logs[n] = (p - p.mean(axis=1, keepdims=True)).astype(np.float32)
+    own = count["script"] > OWN_SCRIPT * count["script"].sum(axis=0)
     return Model([r["lang"] for r in table], logs["two"], logs["three"], own)
 
 

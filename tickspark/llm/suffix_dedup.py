@@ -8,13 +8,14 @@ A suffix array of the whole corpus fits no task, so equal strings are first brou
    hash: where it is, and a hash of its context, the 84 bytes in which all strings with this anchor lie.
 2. Equal contexts are whole duplicates of the one in the smallest document: decided in the bucket, or by the reducer.
    An anchor with different contexts in different documents is open, and the buckets that have it are told.
-3. Open contexts are cut into two overlapping halves, each with a longer gram that all its strings share, and sent to the
-   reducer of that gram. The different halves with one gram make a text, and the suffix arrays of these texts (built by
-   linear grouping, ``suffix_array``) put equal 50-byte strings side by side: those not in the smallest document go.
+3. Open contexts are sent to the reducer of their anchor. Each is taken as the strings that start in a range of places; a
+   range is halved, and its group parted by the longer gram that all its strings then share, until what is left are at
+   most ``TEXTS`` different texts. Those make one text, and the suffix arrays of these (built by linear grouping,
+   ``suffix_array``) put equal 50-byte strings side by side: those not in the smallest document go.
 4. The spans found go back to the buckets, which apply them.
 
 What a bucket repeats is merged before it is sent, so that an anchor, however common, reaches its reducer at most once
-from each bucket, and a half once for each different text. Documents are shuffled once; the steps read that shuffle.
+from each bucket, and a context once for each different text. Documents are shuffled once; the steps read that shuffle.
 
 Nulls: a null text is empty; a row with a null doc_id keeps its text and is no source. Rows with the same doc_id do not
 count as earlier than each other. An empty table gives an empty result. Other columns are ignored by ``duplicated_spans``
@@ -36,10 +37,15 @@ from .suffix_array import _spans, suffix_arrays
 
 LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1
-HALF = 17
+#: Bytes of a context before and from its anchor on.
+LEFT, WIDTH = WINDOW - 1, WINDOW - 1 + LENGTH
+#: Different texts that are compared by one suffix array.
+TEXTS = 48
+#: Bits of an anchor's hash that travel; anchors that share them are compared in vain, no more.
+SENT_BITS = 48
 BUCKET = 8 << 20
 #: Bytes hashed together, and characters in a batch of suffix arrays.
-SLICE, BATCH = 1 << 20, 1 << 20
+SLICE, BATCH = 1 << 20, 1 << 19
 BASE = 0x100000001B3
 NONE = np.uint64(2**64 - 1)
 
@@ -196,9 +202,10 @@ def _anchor_rows(parts: int):
         bucket = table["_bucket"][0].as_py()
         sent = np.flatnonzero(a["lead"])
         rows = []
-        for r, k in _split(a["h"][sent], parts):
+        key = a["h"] >> np.uint64(64 - SENT_BITS)
+        for r, k in _split(key[sent], parts):
             i = sent[k]
-            rows.append((r, bucket, len(i), _pack(a["h"][i], True), _pack(np.where(a["many"][i], np.uint64(0), a["ctx"][i])), _pack(a["ids"][i]), _pack(i.astype(np.uint32)), b""))
+            rows.append((r, bucket, len(i), _pack(key[i], True), _pack(np.where(a["many"][i], np.uint64(0), a["ctx"][i])), _pack(a["ids"][i]), _pack(i.astype(np.uint32), True), b""))
         return _messages(rows)
 
     return run
@@ -211,7 +218,7 @@ def _anchor_verdicts(table: pa.Table) -> pa.Table:
     h = np.concatenate([_unpack(x["a"], "<u8", x["n"], True) for x in rows])
     ctx = np.concatenate([_unpack(x["b"], "<u8", x["n"]) for x in rows])
     ids = np.concatenate([_unpack(x["c"], "<i8", x["n"]) for x in rows])
-    place = np.concatenate([_unpack(x["d"], "<u4", x["n"]) for x in rows])
+    place = np.concatenate([_unpack(x["d"], "<u4", x["n"], True) for x in rows])
     row = np.repeat(np.arange(len(rows)), n)
     o = np.lexsort((ids, h))
     h, ctx, ids, place, row = h[o], ctx[o], ids[o], place[o], row[o]
@@ -245,20 +252,8 @@ def _told(c: Corpus, told: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray,
     return a, dup, open_ & a["rep"] & ~dup
 
 
-def _halves(a: dict[str, np.ndarray], k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and place of the gram of both halves of these contexts; halves too short to hold a string are left out."""
-    at, s, e = a["at"][k], a["s"][k], a["e"][k]
-    mid = at - HALF  # the first half has the strings that start before this, the second the others
-    left = np.stack([s, np.minimum(mid - 1 + LENGTH, e), mid - 1], axis=1)
-    right = np.stack([np.maximum(mid, s), e, at], axis=1)
-    both = np.concatenate([left, right])
-    which = np.r_[np.zeros(len(k), np.int64), np.ones(len(k), np.int64)]
-    ok = both[:, 1] - both[:, 0] >= LENGTH
-    return both[ok], which[ok], np.r_[k, k][ok]
-
-
 def _context_rows(parts: int):
-    """Step 3: the halves of the open contexts, to the reducers of their grams; the spans that are decided, to the bucket's."""
+    """Step 3: the open contexts, to the reducers of their anchors; the spans that are decided, to the bucket's."""
 
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         if not len(table):
@@ -270,47 +265,18 @@ def _context_rows(parts: int):
         lo, hi = _merged(a["s"][dup], a["e"][dup])
         if len(lo):
             rows.append((bucket % parts, bucket, len(lo), _pack(lo, True), _pack(hi - lo), b"", b"", b"span"))
-        both, which, _ = _halves(a, np.flatnonzero(open_))
-        if len(both):
-            # Strings of the first half that start at s..mid-1 all hold the bytes mid-1..s+50; of a full context that is 34.
-            gram = both[:, 2]
-            width = np.where(which == 0, GRAM + HALF + 1, LENGTH - HALF)
-            key = self_hash(c.bytes, gram, np.minimum(width, both[:, 1] - gram), which)
-            size = both[:, 1] - both[:, 0]
-            lead = (gram - both[:, 0]).astype(np.uint8)
-            text = self_hash(c.bytes, both[:, 0], size, lead)
-            ids = c.ids[c.doc(both[:, 0])]
-            o = np.lexsort((both[:, 0], ids, text, key))
-            both, key, size, lead, text, ids = both[o], key[o], size[o], lead[o], text[o], ids[o]
-            first = _groups(key, text)
-            least = ids[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            more = ids > least  # equal to a half in a smaller document of the bucket
-            lo, hi = _merged(both[more, 0], both[more, 1])
-            if len(lo):
-                rows.append((bucket % parts, bucket, len(lo), _pack(lo, True), _pack(hi - lo), b"", b"", b"span"))
-            both, key, size, lead, ids = both[~more], key[~more], size[~more], lead[~more], ids[~more]
-            for r, k in _split(key, parts):
-                raw = pa.compress(c.bytes[_spans(both[k, 0], size[k])].tobytes(), codec="zstd", asbytes=True)
-                meta = _pack(np.stack([size[k].astype(np.uint8), lead[k]], axis=1).view("<u2").ravel())
-                rows.append((r, bucket, len(k), _pack(key[k], True), _pack(ids[k]), _pack(both[k, 0].astype("<u4")), meta, raw))
+        k = np.flatnonzero(open_)
+        key = a["h"][k] >> np.uint64(64 - SENT_BITS)
+        for r, j in _split(key, parts):
+            i = k[j]
+            raw = pa.compress(c.bytes[_spans(a["s"][i], a["e"][i] - a["s"][i])].tobytes(), codec="zstd", asbytes=True)
+            meta = np.stack([a["at"][i] - a["s"][i], a["e"][i] - a["at"][i]], axis=1).astype(np.uint8)
+            rows.append((r, bucket, len(i), _pack(key[j], True), _pack(a["ids"][i]), _pack(a["at"][i].astype("<u4")), _pack(meta.view("<u2").ravel()), raw))
         return _messages(rows)
 
     return run
 
 
-def self_hash(b: np.ndarray, start: np.ndarray, size: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of at most 128 bytes, with a seed each."""
-    out = np.empty(len(start), np.uint64)
-    weight = np.array([pow(BASE, i + 1, 2**64) for i in range(128)], np.uint64)
-    for i in range(0, len(start), 1 << 14):
-        n = size[i : i + (1 << 14)]
-        head = np.cumsum(n) - n
-        at = np.arange(int(n.sum())) - np.repeat(head, n)
-        x = (b[_spans(start[i : i + (1 << 14)], n)].astype(np.uint64) + np.uint64(1)) * weight[at]
-        out[i : i + (1 << 14)] = np.add.reduceat(x, head)
-    return _mix(out + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + seed.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-
-
 def _merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans in order, those that overlap or touch joined."""
     if not len(lo):
@@ -367,55 +333,117 @@ def repeated_strings(raw: np.ndarray, size: np.ndarray, group: np.ndarray, ids:
     return both[0], both[1]
 
 
+def _hash_rows(m: np.ndarray, *seeds: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the rows of a byte matrix, with numbers that count as part of them."""
+    weight = np.array([pow(BASE, i + 1, 2**64) for i in range(m.shape[1])], np.uint64)
+    out = np.concatenate([(m[i : i + (1 << 14)].astype(np.uint64) * weight).sum(axis=1, dtype=np.uint64) for i in range(0, len(m), 1 << 14)] or [np.zeros(0, np.uint64)])
+    for k, x in enumerate(seeds):
+        out += x.astype(np.uint64) * np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 2**64))
+    return _mix(out)
+
+
+class Contexts:
+    """Contexts side by side, their anchors in one column and zeros beyond their ends, and the spans found in them."""
+
+    def __init__(self, rows: list[dict]):
+        n = [x["n"] for x in rows]
+        self.key = np.concatenate([_unpack(x["a"], "<u8", x["n"], True) for x in rows])
+        self.ids = np.concatenate([_unpack(x["b"], "<i8", x["n"]) for x in rows])
+        self.at = np.concatenate([_unpack(x["c"], "<u4", x["n"]) for x in rows]).astype(np.int64)
+        meta = np.concatenate([_unpack(x["d"], "<u2", x["n"]) for x in rows]).view(np.uint8).reshape(-1, 2).astype(np.int16)
+        self.before, self.after = meta[:, 0], meta[:, 1]
+        self.row = np.repeat(np.arange(len(rows)), n)
+        self.text = np.zeros((len(self.key), WIDTH), np.uint8)
+        done = 0
+        for x in rows:
+            part = slice(done, done + x["n"])
+            size = int((self.before[part] + self.after[part]).sum())
+            raw = np.frombuffer(pa.decompress(x["e"], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+            col = np.arange(WIDTH)[None, :]
+            self.text[part][(col >= LEFT - self.before[part, None]) & (col < LEFT + self.after[part, None])] = raw
+            done += x["n"]
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def take(self, i: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Notes spans, relative to the anchors, that go."""
+        self.found.append((self.row[i], self.at[i] + start, self.at[i] + end))
+
+    def range(self, i: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last start, within a..b relative to the anchor, of the strings that these contexts have."""
+        return np.maximum(a, -self.before[i]).astype(np.int64), np.minimum(b, self.after[i] - LENGTH).astype(np.int64)
+
+    def settle(self, i: np.ndarray, group: np.ndarray, a: int, b: int) -> None:
+        """Compares the strings that start at a..b in the contexts i of each group."""
+        first, last = self.range(i, a, b)
+        i, group, first, last = (x[first <= last] for x in (i, group, first, last))
+        if not len(i):
+            return
+        text = _hash_rows(self.text[i, LEFT + a : LEFT + b + LENGTH], first - a, b - last)
+        o = np.lexsort((self.ids[i], text, group))
+        i, group, first, last, text = i[o], group[o], first[o], last[o], text[o]
+        ids = self.ids[i]
+        lead, same = _groups(group), _groups(group, text)
+        g, verdict = np.cumsum(lead) - 1, np.cumsum(same) - 1
+        heads, one = np.flatnonzero(lead), np.flatnonzero(same)
+        more = ids > ids[one][verdict]
+        self.take(i[more], first[more], last[more] + LENGTH)
+        kinds = np.add.reduceat(same.astype(np.int64), heads)
+        apart = np.minimum.reduceat(ids, heads) != np.maximum.reduceat(ids, heads)
+        left = ~more & ((kinds > 1) & apart)[g]
+        # Groups of many texts, and all at first, are parted by the longer gram of half their strings.
+        small = (kinds <= TEXTS)[g] & (b - a < LEFT)
+        part = np.flatnonzero(left & ~small)
+        if len(part):
+            mid = (a + b) // 2
+            for x, y in ((a, mid), (mid + 1, b)):
+                # Bytes y to x + 50 lie in all strings that start at x..y.
+                p = part[(np.maximum(first[part], x) <= np.minimum(last[part], y))]
+                gram = _hash_rows(self.text[i[p], LEFT + y : LEFT + x + LENGTH], g[p])
+                self.settle(i[p], np.unique(gram, return_inverse=True)[1], x, y)
+        self.compare(i, g, first, last, verdict, left & small)
+
+    def compare(self, i: np.ndarray, g: np.ndarray, first: np.ndarray, last: np.ndarray, verdict: np.ndarray, pick: np.ndarray) -> None:
+        """Suffix arrays of the texts of each group; rows of one text and document get one verdict."""
+        rows = np.flatnonzero(pick)
+        if not len(rows):
+            return
+        lead = _groups(verdict[rows])
+        one, alike = rows[lead], np.cumsum(lead) - 1
+        step = max(1, BATCH // WIDTH)
+        at = 0
+        while at < len(one):
+            end = min(at + step, len(one))
+            while end < len(one) and g[one[end]] == g[one[end - 1]]:
+                end += 1
+            p = one[at:end]
+            size = last[p] - first[p] + LENGTH
+            col = np.arange(WIDTH)[None, :]
+            raw = self.text[i[p]][(col >= LEFT + first[p, None]) & (col < LEFT + last[p, None] + LENGTH)]
+            half, place = repeated_strings(raw, size, g[p], self.ids[i[p]])
+            o = np.argsort(half, kind="stable")
+            half, place = half[o] + at, place[o]
+            these = np.flatnonzero((alike >= at) & (alike < end))
+            lo, hi = np.searchsorted(half, alike[these]), np.searchsorted(half, alike[these], side="right")
+            src = rows[np.repeat(these, hi - lo)]
+            start = first[src] + place[_spans(lo, hi - lo)]
+            self.take(i[src], start, start + LENGTH)
+            at = end
+
+
 def _compare(table: pa.Table) -> pa.Table:
-    """Step 3 at the reducer: equal halves, then suffix arrays of the different ones; the spans of each bucket."""
+    """Step 3 at the reducer: the spans of each bucket that a smaller document has too."""
     rows = table.to_pylist()
-    spans = [x for x in rows if x["e"] == b"span"]
-    out = [(0, x["bucket"], x["n"], x["a"], x["b"], b"", b"", b"") for x in spans]
+    out = [(0, x["bucket"], x["n"], x["a"], x["b"], b"", b"", b"") for x in rows if x["e"] == b"span"]
     rows = [x for x in rows if x["e"] != b"span"]
     if not rows:
         return _messages(out)
-    n = [x["n"] for x in rows]
-    key = np.concatenate([_unpack(x["a"], "<u8", x["n"], True) for x in rows])
-    ids = np.concatenate([_unpack(x["b"], "<i8", x["n"]) for x in rows])
-    at = np.concatenate([_unpack(x["c"], "<u4", x["n"]) for x in rows]).astype(np.int64)
-    meta = np.concatenate([_unpack(x["d"], "<u2", x["n"]) for x in rows]).view(np.uint8).reshape(-1, 2).astype(np.int64)
-    size, lead = meta[:, 0], meta[:, 1]
-    ends = np.cumsum(np.add.reduceat(size, np.cumsum(n) - n))
-    lengths = np.diff(np.r_[0, ends])
-    raw = np.frombuffer(b"".join(pa.decompress(x["e"], decompressed_size=int(m), codec="zstd", asbytes=True) for x, m in zip(rows, lengths, strict=True)), np.uint8)
-    row = np.repeat(np.arange(len(rows)), n)
-    off = np.cumsum(size) - size
-    text = self_hash(raw, off, size, lead)
-    o = np.lexsort((at, ids, text, key))
-    first, same = _groups(key[o]), _groups(key[o], text[o])
-    g, gs = np.cumsum(first) - 1, np.cumsum(same) - 1
-    heads, shead = np.flatnonzero(first), np.flatnonzero(same)
-    i = ids[o]
-    more = i > i[shead][gs]
-    lo, hi, who = [at[o][more]], [(at + size)[o][more]], [row[o][more]]
-    many = np.add.reduceat(same.astype(np.int64), heads) > 1
-    apart = np.minimum.reduceat(i, heads) != np.maximum.reduceat(i, heads)
-    left = ~more & (many & apart)[g]  # of equal halves only those in the smallest document
-    k, grp = o[left], g[left]
-    # One half for each text and document: further ones of the same document get the same verdict.
-    one = np.flatnonzero(_groups(grp, text[k]))
-    verdict = np.cumsum(_groups(grp, text[k])) - 1
-    if len(one):
-        p = k[one]
-        half, place = repeated_strings(raw[_spans(off[p], size[p])], size[p], grp[one], ids[p])
-        o2 = np.argsort(half, kind="stable")
-        half, place = half[o2], place[o2]
-        cut, cut2 = np.searchsorted(half, verdict), np.searchsorted(half, verdict, side="right")
-        w = _spans(cut, cut2 - cut)
-        src = np.repeat(k, cut2 - cut)
-        lo.append(at[src] + place[w])
-        hi.append(at[src] + place[w] + LENGTH)
-        who.append(row[src])
-    lo, hi, who = np.concatenate(lo), np.concatenate(hi), np.concatenate(who)
-    for r, j in _split(who.astype(np.uint64), len(rows)):
-        a, b = _merged(lo[j], hi[j])
-        out.append((0, rows[r]["bucket"], len(a), _pack(a, True), _pack(b - a), b"", b"", b""))
+    c = Contexts(rows)
+    c.settle(np.arange(len(c.key)), np.unique(c.key, return_inverse=True)[1], -LEFT, 0)
+    if c.found:
+        who, lo, hi = (np.concatenate(x) for x in zip(*c.found, strict=True))
+        for r, j in _split(who.astype(np.uint64), len(rows)):
+            a, b = _merged(lo[j], hi[j])
+            out.append((0, rows[r]["bucket"], len(a), _pack(a, True), _pack(b - a), b"", b"", b""))
     return _messages(out)
 
 
