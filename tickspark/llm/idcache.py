@@ -6,8 +6,20 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-#: Words kept by a worker before it starts anew; longer keys are not kept beyond the text that has them.
-WORDS, KEY_LENGTH = 1_000_000, 48
+#: Words kept by a worker before it starts anew; longer keys are not kept beyond the texts that have them.
+WORDS, KEY_LENGTH = 2_000_000, 48
+
+
+class _Numbered(dict):
+    """Numbers keys as they are asked for."""
+
+    def __init__(self) -> None:
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        number = self[key] = len(self)
+        self.new.append(key)
+        return number
 
 
 class IdCache:
@@ -18,37 +30,40 @@ class IdCache:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict = {}
+        self.number = _Numbered()
         self.flat = np.zeros(1 << 20, np.uint32)
-        self.used = 0
+        self.used = self.words = 0
         self.start, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def _add(self, words: list, ids: Sequence[Sequence[int]]) -> None:
+    def _add(self, ids: Sequence[Sequence[int]]) -> None:
         count = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, at = int(count.sum()), len(self.known)
+        n, at, end = int(count.sum()), self.words, self.words + len(ids)
         while self.used + n > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
-        while at + len(words) > len(self.start):
+        while end > len(self.start):
             self.start, self.count = np.r_[self.start, np.zeros_like(self.start)], np.r_[self.count, np.zeros_like(self.count)]
         self.flat[self.used : self.used + n] = np.fromiter((i for x in ids for i in x), np.uint32, n)
-        self.start[at : at + len(words)] = self.used + np.cumsum(count) - count
-        self.count[at : at + len(words)] = count
-        self.used += n
-        self.known.update(zip(words, range(at, at + len(words)), strict=True))
-
-    def ids(self, words: list) -> np.ndarray:
-        """The ids of these words, one after the other."""
-        if not words:
-            return np.zeros(0, np.uint32)
-        if len(self.known) > WORDS:
+        self.start[at:end] = self.used + np.cumsum(count) - count
+        self.count[at:end] = count
+        self.used, self.words = self.used + n, end
+
+    def ids(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words, one after the other, and how many each has."""
+        if self.words > WORDS:
             self.reset()
-        new = list({w: None for w in words if w not in self.known})
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        new, self.number.new = self.number.new, []
         for k in range(0, len(new), 8192):
-            self._add(new[k : k + 8192], self.encode_many(new[k : k + 8192]))
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            self._add(self.encode_many(new[k : k + 8192]))
         n, first = self.count[at], self.start[at]
         ends = np.cumsum(n)
-        out = self.flat[np.arange(ends[-1]) + np.repeat(first - (ends - n), n)]
+        out = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)]
         if any(len(w) > KEY_LENGTH for w in new):
             self.reset()
-        return out
+        return out, n
+
+    def texts(self, split: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, each given as its words, one after the other, and where each text ends."""
+        out, n = self.ids([w for words in split for w in words])
+        ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+        return out, np.r_[0, np.cumsum(n)][ends]

@@ -42,6 +42,10 @@ UNIT = 8
 FILLER = 64
 #: Word stems that a worker keeps.
 STEMS = 1_000_000
+#: Letters below this code point have one composed form and one lower case of one letter.
+LATIN = "\u0180"
+#: Texts that are encoded together.
+TOGETHER = 64
 #: Column generation ends when the bound shows it within this share of the optimum.
 GAP = 1e-3
 
@@ -65,9 +69,20 @@ class Encoder:
 
         tokenizer = Tokenizer.from_file(path)
         self.encode_batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        self.stems: dict[bytes, list[int]] = {}
+        self.ends_word = np.zeros(tokenizer.get_vocab_size(), bool)
+        for token, i in tokenizer.get_vocab().items():
+            self.ends_word[i] = token.endswith("</w>")
+        self.stems: dict[str, list[int]] = {}
         self.cache = IdCache(self._words)
 
+    def _plain(self, words: list[str]) -> list[list[int]]:
+        """Ids of words of lower-case Latin letters only, encoded as one text: each ends with the one id that ends a word."""
+        ids = self.encode_batch([" ".join(words)], add_special_tokens=False)[0].ids
+        cut = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+        if len(cut) != len(words):
+            return [e.ids for e in self.encode_batch(words, add_special_tokens=False)]
+        return [ids[a:b] for a, b in zip([0, *cut], cut, strict=False)]
+
     def _words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of words. ASCII words are lower-cased, as the tokenizer does, and a full stop or comma after a letter or
         digit, which it always parts from the word, is looked up on its own, so fewer words have to be encoded."""
@@ -75,19 +90,23 @@ class Encoder:
         for w in words:
             if w.isascii() and b"<" not in w:
                 w = w.lower()
-            parts.append((w[:-1], w[-1:]) if len(w) > 1 and w[-1:] in (b".", b",") and w[-2:-1].isalnum() else (w, b""))
+            tail = w[-1:] if len(w) > 1 and w[-1:] in (b".", b",") and w[-2:-1].isalnum() else b""
+            parts.append(((w[:-1] if tail else w).decode(), tail.decode()))
         new = list({p: None for pair in parts for p in pair if p and p not in self.stems})
-        if new:
-            ids = self.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            self.stems.update((w, e.ids) for w, e in zip(new, ids, strict=True))
+        plain = [w for w in new if w.isalpha() and w == w.lower() and max(w) < LATIN]
+        odd = list(set(new).difference(plain)) if len(plain) < len(new) else []
+        if plain:
+            self.stems.update(zip(plain, self._plain(plain), strict=True))
+        if odd:
+            self.stems.update((w, e.ids) for w, e in zip(odd, self.encode_batch(odd, add_special_tokens=False), strict=True))
         out = [self.stems[w] + self.stems[t] if t else self.stems[w] for w, t in parts]
         if len(self.stems) > STEMS:
             self.stems.clear()
         return out
 
-    def encode(self, text: bytes | None) -> np.ndarray:
-        """Ids of a text with the end id."""
-        return np.append(self.cache.ids((text or b"").split()), np.uint32(END))
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after the other, without end ids, and where each text ends."""
+        return self.cache.texts([(t or b"").split() for t in texts])
 
 
 def cuts(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -104,15 +123,17 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
         encoder = Encoder(tokenizer)
         for b in batches:
             doc, start, size, crc, total = [], [], [], [], []
-            for k in range(b.num_rows):
-                ids = encoder.encode(b.column(1)[k].as_py())
-                raw = memoryview(np.ascontiguousarray(ids, "<u4").view(np.uint8))
-                for s, e in cuts(len(ids), length):
-                    doc.append(k)
-                    start.append(s)
-                    size.append(e - s)
-                    crc.append(zlib.crc32(raw[4 * s : 4 * e]))
-                    total.append(len(ids))
+            for at in range(0, b.num_rows, TOGETHER):
+                flat, ends = encoder.encode(b.column(1).slice(at, TOGETHER).to_pylist())
+                for k, (lo, hi) in enumerate(zip([0, *ends.tolist()], ends.tolist(), strict=False)):
+                    ids = np.append(flat[lo:hi], np.uint32(END)).astype("<u4")
+                    raw = memoryview(ids.view(np.uint8))
+                    for s, e in cuts(len(ids), length):
+                        doc.append(at + k)
+                        start.append(s)
+                        size.append(e - s)
+                        crc.append(zlib.crc32(raw[4 * s : 4 * e]))
+                        total.append(len(ids))
             longs = {n: pa.array(v, pa.int64()) for n, v in (("start", start), ("length", size), ("ids_crc32", crc), ("doc_tokens", total))}
             yield pa.record_batch({"doc_id": b.column(0).take(pa.array(doc, pa.int64()))} | longs)
 
