@@ -33,6 +33,9 @@ from pyspark.sql import functions as F
 from .idcache import IdCache
 
 MARK = "▁"
+WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Texts that are encoded together.
+TOGETHER = 128
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -98,7 +101,7 @@ class Transducer:
             if len(p) > 1:
                 tails.setdefault(p[-2:], set()).add(len(p))
         self.lengths = {t: sorted(n, reverse=True) for t, n in tails.items()}
-        self.cache = IdCache(lambda units: [self.shortest(u) for u in units])
+        self.cache = IdCache(self.shortest_of)
 
     def stay_apart(self, left: str, right: str) -> bool:
         """Whether the merge rules leave these two neighbours as they are: best score first, then leftmost."""
@@ -121,10 +124,13 @@ class Transducer:
                 yield end - n, unit[end - n : end]
         yield end - 1, unit[end - 1]
 
-    def _bpe_path(self, unit: str) -> list[str]:
-        """The last piece of the shortest path to each position: the one arc into it that weighs 0."""
-        last, ids, lengths, apart = [""], self.id, self.lengths, self.apart
-        for end in range(1, len(unit) + 1):
+    def _bpe_path(self, unit: str, last: list[str]) -> list[str]:
+        """The last piece of the shortest path to each position: the one arc into it that weighs 0.
+
+        last: the same for the first positions, which depend on the characters before them only.
+        """
+        ids, lengths, apart = self.id, self.lengths, self.apart
+        for end in range(len(last), len(unit) + 1):
             for n in lengths.get(unit[end - 2 : end], ()) if end > 1 else ():
                 piece = unit[end - n : end]
                 if n > end or piece not in ids:
@@ -146,7 +152,7 @@ class Transducer:
             last.append(piece)
         return last
 
-    def _unigram_path(self, unit: str) -> list[str]:
+    def _unigram_path(self, unit: str, last: list[str]) -> list[str]:
         """The last piece of the shortest path to each position, an arc weighing the negative score of its piece."""
         far, last = [0.0], [""]
         for end in range(1, len(unit) + 1):
@@ -160,9 +166,25 @@ class Transducer:
             last.append(best[1])
         return last
 
+    def shortest_of(self, units: list[str]) -> list[list[int]]:
+        """Ids along the shortest paths through the lattices of words; words in order share the paths of their beginnings."""
+        search = self._bpe_path if self.type == BPE else self._unigram_path
+        found: dict[str, list[int]] = {}
+        before, last = "", [""]
+        for unit in sorted(units):
+            k = 0
+            for x, y in zip(before, unit, strict=False):
+                if x != y:
+                    break
+                k += 1
+            before, last = unit, search(unit, last[: k + 1])
+            found[unit] = self._ids(unit, last)
+        return [found[u] for u in units]
+
     def shortest(self, unit: str) -> list[int]:
-        """Ids along the shortest path through the lattice of one word."""
-        last = self._bpe_path(unit) if self.type == BPE else self._unigram_path(unit)
+        return self.shortest_of([unit])[0]
+
+    def _ids(self, unit: str, last: list[str]) -> list[int]:
         path, end = [], len(unit)
         while end:
             path.append(last[end])
@@ -178,11 +200,12 @@ class Transducer:
                 out.append(self.unknown)
         return out
 
+    def units(self, text: str | None) -> list[str]:
+        """The words of a text with the marks in front of them."""
+        return WORD.findall((MARK if self.prefix else "") + text.replace(" ", MARK)) if text else []
+
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        text = (MARK if self.prefix else "") + text.replace(" ", MARK)
-        return self.cache.ids(re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text))
+        return self.cache.ids(self.units(text))[0]
 
     def decode(self, ids: list[int]) -> str:
         out = b"".join(map(self.bytes.__getitem__, ids))
@@ -213,20 +236,22 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         fst = _compiled(shared.value)
         is_byte = np.array([k == BYTE for k in fst.kind])
         for b in batches:
-            for s in range(0, b.num_rows, 512):
-                part = b.slice(s, 512)
+            for s in range(0, b.num_rows, TOGETHER):
+                part = b.slice(s, TOGETHER)
                 texts = part.column(1).to_pylist()
-                got = [fst.encode(t) for t in texts]
-                size = np.array([len(x) for x in got], np.int64)
-                flat = np.concatenate([*got, np.zeros(0, np.uint32)]).astype(np.int32)
+                flat, ends = fst.cache.texts([fst.units(t) for t in texts])
+                offsets = np.r_[0, ends]
+                spans = list(zip(offsets.tolist(), ends.tolist(), strict=False))
+                bytes_before = np.r_[0, np.cumsum(is_byte[flat])]
+                raw, ids = memoryview(np.ascontiguousarray(flat, "<u4").view(np.uint8)), flat.tolist()
                 yield pa.record_batch(
                     {
                         "doc_id": part.column(0),
-                        "n_ids": pa.array(size),
-                        "n_byte_ids": pa.array([int(is_byte[x].sum()) for x in got], pa.int64()),
-                        "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in got], pa.int64()),
-                        "round_trip": pa.array([fst.decode(x.tolist()) == (t or "") for x, t in zip(got, texts, strict=True)]),
-                        "ids": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(flat)),
+                        "n_ids": pa.array(np.diff(offsets)),
+                        "n_byte_ids": pa.array(np.diff(bytes_before[offsets])),
+                        "ids_crc32": pa.array([zlib.crc32(raw[4 * lo : 4 * hi]) for lo, hi in spans], pa.int64()),
+                        "round_trip": pa.array([fst.decode(ids[lo:hi]) == (t or "") for (lo, hi), t in zip(spans, texts, strict=True)]),
+                        "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32))),
                     }
                 )
 
