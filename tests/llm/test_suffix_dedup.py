@@ -121,6 +121,17 @@ def test_odd_rows(spark, monkeypatch):
     check(spark, [])
 
 
+def test_long_documents_in_slices(monkeypatch):
+    rows = [(i, t) for i, t in noisy(9, 6, "abcdef", 4)]
+    tables = [pa.table({"_id": pa.array([i for i, _ in rows], pa.int64()), "_text": pa.array([(t * 9).encode() for _, t in rows], pa.binary()), "_th": pa.array(range(len(rows)), pa.int64())})]
+    whole = s.Corpus(tables[0]).anchors()
+    for size in (64, 100, 333):
+        monkeypatch.setattr(s, "SLICE", size)
+        parts = s.Corpus(tables[0]).anchors()
+        o = np.argsort(whole[0], kind="stable")
+        assert len(whole[0]) > 50 and all((x[o] == y).all() for x, y in zip(whole, parts, strict=True))
+
+
 def test_remove_duplicated_keeps_columns(spark):
     text = "The quick brown fox jumps over the lazy dog while it rains é."
     docs = spark.createDataFrame([(2, text + " more", len(text) + 5, "a"), (1, text, len(text), "b"), (None, text, len(text), "c"), (3, None, None, "d")], "doc_id long, text string, n_chars long, source string")

@@ -98,18 +98,31 @@ class Corpus:
 
     def anchors(self) -> tuple[np.ndarray, ...]:
         """Place, hash, context start and end of the anchors, and the context's hash; long documents in overlapping slices."""
-        found = []
-        k = 0
+        found, parted, k = [], False, 0
         while k < len(self.texts):
+            if self.size[k] > SLICE:
+                parted = True
+                found += [self._anchors(k, k + 1, x) for x in range(int(self.start[k]), int(self.end[k]), SLICE)]
+                k += 1
+                continue
             lo, k2 = self.start[k], k + 1
             while k2 < len(self.texts) and self.end[k2] - lo <= SLICE:
                 k2 += 1
             found.append(self._anchors(k, k2))
             k = k2
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-
-    def _anchors(self, k: int, k2: int) -> tuple[np.ndarray, ...]:
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        out = tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        if parted:  # an anchor may have been met in two slices
+            one = np.unique(out[0], return_index=True)[1]
+            out = tuple(x[one] for x in out)
+        return out
+
+    def _anchors(self, k: int, k2: int, begin: int | None = None) -> tuple[np.ndarray, ...]:
+        """Anchors of the strings of some documents, or of those that start in the slice of one document at begin."""
         lo, hi = int(self.start[k]), int(self.end[k2 - 1])
+        if begin is not None:
+            lo, hi = max(lo, begin - LEFT), min(hi, begin + SLICE + WIDTH)
         b = self.bytes[lo:hi]
         none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
         if len(b) < LENGTH:
@@ -119,8 +132,12 @@ class Corpus:
         low = _running(h, WINDOW, np.minimum)
         ok = np.zeros(len(low) + 1, np.int64)
         good = self.real[k:k2] & (self.size[k:k2] >= LENGTH)
-        np.add.at(ok, self.start[k:k2][good] - lo, 1)
-        np.add.at(ok, self.end[k:k2][good] - lo - LENGTH + 1, -1)
+        first, past = self.start[k:k2][good], self.end[k:k2][good] - LENGTH + 1
+        if begin is not None:
+            first, past = np.maximum(first, begin), np.minimum(past, begin + SLICE)
+            first, past = first[first < past], past[first < past]
+        np.add.at(ok, first - lo, 1)
+        np.add.at(ok, past - lo, -1)
         low[np.cumsum(ok[:-1]) == 0] = 0  # strings that cross documents
         pad = np.zeros(WINDOW - 1, np.uint64)
         at = np.flatnonzero(_running(np.r_[pad, low, pad], WINDOW, np.maximum) == h)
