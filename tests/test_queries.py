@@ -4,6 +4,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -15,7 +16,7 @@ TABLES = ("events",)
 def rows(df):
     out = df.toPandas()
     out = out[sorted(out.columns)]
-    plain = lambda x: None if x is None or (isinstance(x, float) and math.isnan(x)) else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x
+    plain = lambda x: None if x is None or x is pd.NA or (isinstance(x, float) and math.isnan(x)) else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x
     return sorted((tuple(map(plain, r)) for r in out.astype(object).itertuples(index=False, name=None)), key=repr)
 
 

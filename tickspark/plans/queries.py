@@ -64,7 +64,7 @@ def tick_bucket_volume(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tick_side_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return side_rollup(ticks(spark, sf), 86_400_000)
+    return side_rollup(ticks(spark, sf), 86_400_000).select(F.coalesce("ts_ms", F.lit(-1)).alias("ts_ms"), F.coalesce("side", F.lit("both")).alias("side"), "qty_scaled", "n")
 
 
 def candles(spark: SparkSession, sf: str, by_user: bool = False) -> DataFrame:
@@ -354,7 +354,7 @@ ORACLE_SQL: dict[str, str] = {
     "agg_trades_normalize": f"with {_T} select event_id, ts_ms as timestamp, price, qty_scaled, qty_scaled / 1e6 as qty, side, (side = 'SELL')::int as side_code from t",
     "price_quantize_modes": "select event_id, round_even(value / 0.5, 0)::bigint as half_even, round(value / 0.5)::bigint as half_away, trunc(value / 0.5)::bigint as truncated from events",
     "tick_bucket_volume": f"with {_T} select ts_ms - ts_ms % 60000 as ts_ms, price_tick, side, sum(round(qty * 1e6)::bigint)::bigint / 1e6 as qty from t group by all order by 1, 2, 3",
-    "tick_side_rollup": f"with {_T}, x as (select ts_ms - ts_ms % 86400000 as ts_ms, side, qty_scaled from t) select ts_ms, side, sum(qty_scaled)::bigint as qty_scaled, count(*) as n from x group by rollup (ts_ms, side)",
+    "tick_side_rollup": f"with {_T}, x as (select ts_ms - ts_ms % 86400000 as ts_ms, side, qty_scaled from t) select coalesce(ts_ms, -1) as ts_ms, coalesce(side, 'both') as side, sum(qty_scaled)::bigint as qty_scaled, count(*) as n from x group by rollup (x.ts_ms, x.side)",
     "candles_from_ticks": f"with {_T} select symbol, ts_ms - ts_ms % 3600000 as ts_open, ts_ms - ts_ms % 3600000 + 3600000 as ts_close, arg_min(price_tick, user_seq) as open_tick, max(price_tick) as high_tick, min(price_tick) as low_tick, arg_max(price_tick, user_seq) as close_tick, sum(qty_scaled)::bigint as volume_scaled, count(*) as trade_count from t group by 1, 2, 3",
     "candle_validity_split": f"with {_T}, {_BARS} select not (trade_count <= 5 or trade_count = 8 or trade_count = 10) as is_valid, count(*) as n, sum(trade_count)::bigint as trades from b group by 1",
     "ingestion_counters": f"with {_T}, {_BARS}, x as (select trade_count <= 5 or trade_count = 8 or trade_count = 10 as bad from b) select count(*) filter (not bad) as candles_processed, 0::bigint as candles_rejected, count(*) filter (bad) as parse_errors, count(*) filter (bad) as invalid_candles from x",
