@@ -23,6 +23,7 @@ import math
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ UNIT = 8
 #: Pieces of at most so many tokens are left out of the program; they fill the room that is left.
 FILLER = 64
 #: Word stems that a worker keeps.
-STEMS = 1_000_000
+STEMS = 400_000
 #: Letters below this code point have one composed form and one lower case of one letter.
 LATIN = "\u0180"
 #: Texts that are encoded together.
@@ -109,6 +110,12 @@ class Encoder:
         return self.cache.texts([(t or b"").split() for t in texts])
 
 
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """Kept from task to task of a worker."""
+    return Encoder(path)
+
+
 def cuts(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     """(start, end) of the pieces of a document of n tokens."""
     full = n - n % length
@@ -120,7 +127,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of the pieces that every document is cut into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         for b in batches:
             doc, start, size, crc, total = [], [], [], [], []
             for at in range(0, b.num_rows, TOGETHER):
