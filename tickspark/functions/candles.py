@@ -49,16 +49,16 @@ def to_prices(df: DataFrame, tick_size: float) -> DataFrame:
     return df.withColumns(new).drop(*[f"{p}_tick" for p in PRICES], "volume_scaled")
 
 
-def from_ticks(ticks: DataFrame, width_ms: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """Candles of ticks (seq, ts_ms, price_tick, qty_scaled): first, highest, lowest and last price of each bucket."""
+def from_ticks(ticks: DataFrame, width_ms: int, by: tuple[str, ...] = (), order: str | Column = "seq") -> DataFrame:
+    """Candles of ticks (ts_ms, price_tick, qty_scaled): first, highest, lowest and last price of each bucket, in this order."""
     start = F.col("ts_ms") - F.pmod(F.col("ts_ms"), F.lit(width_ms))
     return (
         ticks.groupBy(*by, start.alias("ts_open"))
         .agg(
-            F.min_by("price_tick", "seq").alias("open_tick"),
+            F.min_by("price_tick", order).alias("open_tick"),
             F.max("price_tick").alias("high_tick"),
             F.min("price_tick").alias("low_tick"),
-            F.max_by("price_tick", "seq").alias("close_tick"),
+            F.max_by("price_tick", order).alias("close_tick"),
             F.sum("qty_scaled").alias("volume_scaled"),
             F.count("*").alias("trade_count"),
         )

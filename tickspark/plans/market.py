@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickspark.functions.quantize import price_half_even, scale_qty, side_of_maker
 from tickspark.operators.sequence import with_seq
+from tickspark.sources.scratch import scratch
 
 TICK_SIZE = 0.01
 
@@ -18,11 +19,18 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", "user_id", "event_type", "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), F.col("value").alias("price"), ((k + 1) / 100).alias("qty"), (k % 2 == 1).alias("is_buyer_maker"))
 
 
-def ticks(spark: SparkSession, sf_dir: str, by_user: bool = False) -> DataFrame:
-    """Ticks with an explicit seq; one symbol for the whole table, or one for each user."""
+def plain_ticks(spark: SparkSession, sf_dir: str, by_user: bool = False) -> DataFrame:
+    """Ticks in the order of (ts, event_id), not yet numbered; one symbol for the whole table, or one for each user."""
     t = trades(spark, sf_dir)
     symbol = F.concat(F.lit("u"), F.col("user_id")) if by_user else F.lit("all")
-    rows = t.select(
+    return t.select(
         symbol.alias("symbol"), "event_id", "event_type", "ts", F.col("timestamp").alias("ts_ms"), "price", price_half_even(F.col("price"), TICK_SIZE).alias("price_tick"), "qty", scale_qty(F.col("qty")).alias("qty_scaled"), side_of_maker(F.col("is_buyer_maker")).alias("side")
     )
-    return with_seq(rows, ["ts", "event_id"], ["symbol"] if by_user else None)
+
+
+def ticks(spark: SparkSession, sf_dir: str, by_user: bool = False) -> DataFrame:
+    """Numbered ticks, stored once: the engine reads them several times, and numbering a table takes a sort of it."""
+    rows = with_seq(plain_ticks(spark, sf_dir, by_user), ["ts", "event_id"], ["symbol"] if by_user else None)
+    path = scratch(spark, "ticks")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

@@ -20,7 +20,7 @@ from tickspark.sources.trades import first_price, load_dataset
 from tickspark.streaming import bucket as stream_bucket
 from tickspark.streaming import engine as stream_engine
 
-from .market import TICK_SIZE, ticks, trades
+from .market import TICK_SIZE, plain_ticks, ticks, trades
 
 BUCKET_MS = 60_000
 BAR_MS = 3_600_000
@@ -60,15 +60,15 @@ def price_quantize_modes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tick_bucket_volume(spark: SparkSession, sf: str) -> DataFrame:
-    return aggregate_ticks(ticks(spark, sf), BUCKET_MS)
+    return aggregate_ticks(plain_ticks(spark, sf), BUCKET_MS)
 
 
 def tick_side_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return side_rollup(ticks(spark, sf), 86_400_000).select(F.coalesce("ts_ms", F.lit(-1)).alias("ts_ms"), F.coalesce("side", F.lit("both")).alias("side"), "qty_scaled", "n")
+    return side_rollup(plain_ticks(spark, sf), 86_400_000).select(F.coalesce("ts_ms", F.lit(-1)).alias("ts_ms"), F.coalesce("side", F.lit("both")).alias("side"), "qty_scaled", "n")
 
 
 def candles(spark: SparkSession, sf: str, by_user: bool = False) -> DataFrame:
-    return candle.from_ticks(ticks(spark, sf, by_user), BAR_MS, ("symbol",) if by_user else ())
+    return candle.from_ticks(plain_ticks(spark, sf, by_user), BAR_MS, ("symbol",) if by_user else (), F.struct("ts", "event_id"))
 
 
 def candles_from_ticks(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,7 +112,7 @@ def candle_files_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def market_event_union(spark: SparkSession, sf: str) -> DataFrame:
-    e = events.union(ticks(spark, sf), candles(spark, sf))
+    e = events.union(plain_ticks(spark, sf), candles(spark, sf))
     return e.groupBy("kind", events.is_trade().alias("is_trade"), events.is_bar().alias("is_bar")).agg(F.count("*").alias("n"), F.min(events.timestamp()).alias("first_ts"), F.max(events.timestamp()).alias("last_ts"))
 
 
@@ -219,7 +219,7 @@ def auto_ticksize_ohlc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def first_trade_price(spark: SparkSession, sf: str) -> DataFrame:
-    return first_price(ticks(spark, sf))
+    return first_price(plain_ticks(spark, sf), order=F.struct("ts", "event_id"))
 
 
 def parquet_conversion(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickspark.functions.quantize import check_tick_size, price_half_even, price_truncate, side_code, side_from_code, side_of_maker
@@ -70,7 +70,7 @@ def batch_ticks(trades: DataFrame, tick_size: float, symbol: str = "all") -> Dat
     return with_seq(rows, ["ts_ms", "price", "qty", "side"]).drop("price")
 
 
-def first_price(ticks: DataFrame, price: str = "price", order: str = "seq") -> DataFrame:
+def first_price(ticks: DataFrame, price: str = "price", order: str | Column = "seq") -> DataFrame:
     return ticks.agg(F.min_by(price, order).alias("first_price"))
 
 
