@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,7 +123,7 @@ def build_cascade(universe: DataFrame, key: str, listed: Column, max_bytes: int
     number = 1
     while True:
         member = number % 2 == 1
-        left = keys.where(F.col("listed") == member).mapInArrow(_survivors(cascade), "k1 bigint, k2 bigint")
+        left = keys.where(F.col("listed") == member).mapInArrow(_survivors(keys.sparkSession.sparkContext.broadcast(Cascade([*cascade.levels]))), "k1 bigint, k2 bigint")
         n = left.count()
         if n == 0:
             return cascade
@@ -142,10 +143,10 @@ def _two(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return tuple(batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in ("k1", "k2"))
 
 
-def _survivors(cascade: Cascade):
+def _survivors(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.select(["k1", "k2"]).filter(pa.array(cascade.passed(*_two(b))))
+            yield b.select(["k1", "k2"]).filter(pa.array(shared.value.passed(*_two(b))))
 
     return run
 
@@ -164,10 +165,11 @@ def _setter(level: Level):
 def probe(df: DataFrame, key: str, cascade: Cascade, out: str = "listed") -> DataFrame:
     """df with a boolean column: whether the key is listed. Nulls are not listed."""
     k1, k2 = key_hashes(F.col(key))
+    shared = df.sparkSession.sparkContext.broadcast(cascade)  # at most max_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hit = pa.array(cascade.listed(*_two(b)))
+            hit = pa.array(shared.value.listed(*_two(b)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], hit], names=[*b.schema.names[:-2], out])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
