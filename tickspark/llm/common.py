@@ -27,6 +27,19 @@ def words(c: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(c, F.lit("")), SPACE + "+"), "")
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """Every row as one struct beside its text, so that no column of the table clashes with those an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text"))
+
+
+def with_text(rows: DataFrame, columns: list[str], text: Column, changed: Column) -> DataFrame:
+    """The columns of ``whole`` rows again with a new text; n_chars, if it is one of them, follows where the text changed."""
+    old = {c: F.col("__row").getField(c) for c in columns}
+    n = F.when(changed, F.length("__text").cast("long")).otherwise(old["n_chars"]) if "n_chars" in old else None
+    new = {"text": F.col("__text"), "n_chars": n}
+    return rows.withColumn("__text", text).select(*[new.get(c, old[c]).alias(c) if c in ("text", "n_chars") else old[c].alias(c) for c in columns])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests on one machine)."""
     sc = spark.sparkContext

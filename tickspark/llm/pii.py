@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scan
+from .common import scan, whole, with_text
 
 THRESHOLD = 0.6
 #: Code points before and after a match in which context words count.
@@ -139,14 +139,11 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span in text replaced by its kind in brackets; overlapping spans become one. The same columns."""
-    f = spans(docs)
+    f = spans(whole(docs))
     reach = F.concat(F.array(F.lit(0).cast("bigint")), F.col("_reach"))
     names = F.array(*[F.lit(f"[{k.name.upper()}]") for k in KINDS])
     piece = lambda x, i: F.when(x["s"] >= F.get(reach, i), F.concat(F.substr(F.col("text"), (F.get(reach, i) + 1).cast("int"), (x["s"] - F.get(reach, i)).cast("int")), F.get(names, x["k"]))).otherwise(F.lit(""))
     new = F.concat(F.array_join(F.transform("_found", piece), ""), F.substr(F.col("text"), (F.element_at("_reach", -1) + 1).cast("int")))
     hit = F.size("_found") > 0
-    out = f.withColumn("_ends", F.transform("_found", lambda x: x["e"])).withColumn("_reach", F.when(hit, scan(F.col("_ends"), "max"))).withColumn("_new", F.when(hit, new).otherwise(F.col("text")))
-    out = out.withColumn("text", F.col("_new"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = f.withColumn("_ends", F.transform("_found", lambda x: x["e"])).withColumn("_reach", F.when(hit, scan(F.col("_ends"), "max")))
+    return with_text(out.withColumn("_new", F.when(hit, new).otherwise(F.col("text"))), docs.columns, F.col("_new"), hit)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, words
+from .common import SPACE, whole, with_text, words
 
 #: Words in a window that must not repeat.
 WINDOW = 5
@@ -105,12 +105,9 @@ def clean(docs: DataFrame) -> DataFrame:
     """Documents that the rules keep, without their failing lines; the same columns (n_chars follows the text)."""
     text = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~has_word(x) | ~line_fails(x)), "\n")
     # The random column keeps the optimizer from moving the filter, and with it every rule, below the counts it reads.
-    kept = measured(docs).withColumns({"_kept": F.col("q_kept"), "_still": F.rand(0)}).where("_kept and _still >= 0")
-    new = {"text": F.when(F.col("q_bad_lines") > 0, text).otherwise(F.col("text"))}
-    out = kept.withColumns(new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("q_bad_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    kept = measured(whole(docs)).withColumns({"_kept": F.col("q_kept"), "_still": F.rand(0)}).where("_kept and _still >= 0")
+    hit = F.col("q_bad_lines") > 0
+    return with_text(kept, docs.columns, F.when(hit, text).otherwise(F.col("text")), hit)
 
 
 ORACLE_SQL = r"""

@@ -250,6 +250,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each group: the one with the least doc_id (of equal rows, all). Rows with a null doc_id stay."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    hit = docs.join(keep, F.col("doc_id") == F.col("_kept"), "left_semi")
+    keep = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    hit = docs.join(keep, docs["doc_id"] == keep["__kept"], "left_semi")
     return hit.union(docs.where("doc_id is null"))

@@ -519,13 +519,15 @@ def _kept(columns: list[str]):
                 at = int(hi[i] - c.start[k])
             parts.append(text[k][at:])
             text[k] = b"".join(parts).decode(errors="ignore").encode()
-        out = {n: rows[n] if n in rows.column_names else None for n in columns}
-        out["text"] = pa.array(text, pa.binary()).cast(pa.string())
+        row = rows["__row"].combine_chunks()
+        out = {n: row.field(n) for n in columns if n != "text"}
         if "n_chars" in out:
-            n = rows["n_chars"].to_pylist()
+            n = out["n_chars"].to_pylist()
             for k in hit.tolist():
                 n[k] = len(text[k].decode())
-            out["n_chars"] = pa.array(n, rows["n_chars"].type)
+            out["n_chars"] = pa.array(n, out["n_chars"].type)
+        out["text"] = pa.array(text, pa.binary()).cast(pa.string())
+        out = {n: out[n] for n in columns}
         return pa.table(out)
 
     return run
@@ -534,7 +536,8 @@ def _kept(columns: list[str]):
 def _dealt(docs: DataFrame) -> DataFrame:
     """docs with the id, the bytes and the hash of the text and the bucket, but without the text itself."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.col("text").cast("binary"), "_th": F.xxhash64("text")}).drop("text")
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    rows = docs.select(others.alias("__row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("_text"), F.xxhash64("text").alias("_th"))
     return rows.withColumn("_bucket", F.pmod(F.xxhash64("_id", "_th"), F.lit(max(1, math.ceil(total / BUCKET)))).cast("long"))
 
 

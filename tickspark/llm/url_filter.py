@@ -139,8 +139,8 @@ def build_cascade(universe: DataFrame, key: str, listed: Column, max_bytes: int
         number += 1
 
 
-def _two(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in ("k1", "k2"))
+def _two(batch: pa.RecordBatch, *names: str) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in names or ("k1", "k2"))
 
 
 def _survivors(shared: Broadcast):
@@ -169,11 +169,11 @@ def probe(df: DataFrame, key: str, cascade: Cascade, out: str = "listed") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hit = pa.array(shared.value.listed(*_two(b)))
+            hit = pa.array(shared.value.listed(*_two(b, "__k1", "__k2")))
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], hit], names=[*b.schema.names[:-2], out])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.withColumns({"k1": k1, "k2": k2}).mapInArrow(run, f"{kinds}, `{out}` boolean")
+    return df.withColumns({"__k1": k1, "__k2": k2}).mapInArrow(run, f"{kinds}, `{out}` boolean")
 
 
 def listed_host(host: Column, terms: Sequence[str] = LISTED_TERMS) -> Column:
