@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 
 #: Words kept by a worker before it starts anew; longer keys are not kept beyond the texts that have them.
-WORDS, KEY_LENGTH = 1_000_000, 48
+WORDS, KEY_LENGTH = 1_600_000, 48
 
 
 class _Numbered(dict):
@@ -23,9 +23,9 @@ class _Numbered(dict):
 
 
 class IdCache:
-    """encode_many gives the ids of each of a list of words."""
+    """encode_many gives the ids of each of a list of words, as the bytes of unsigned 32-bit numbers."""
 
-    def __init__(self, encode_many: Callable[[list], Sequence[Sequence[int]]]):
+    def __init__(self, encode_many: Callable[[list], Sequence[bytes]]):
         self.encode_many = encode_many
         self.reset()
 
@@ -35,26 +35,27 @@ class IdCache:
         self.used = self.words = 0
         self.start, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def _add(self, ids: Sequence[Sequence[int]]) -> None:
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
+    def _add(self, ids: Sequence[bytes]) -> None:
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         n, at, end = int(count.sum()), self.words, self.words + len(ids)
         while self.used + n > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
         while end > len(self.start):
             self.start, self.count = np.r_[self.start, np.zeros_like(self.start)], np.r_[self.count, np.zeros_like(self.count)]
-        self.flat[self.used : self.used + n] = np.fromiter((i for x in ids for i in x), np.uint32, n)
+        self.flat[self.used : self.used + n] = np.frombuffer(b"".join(ids), np.uint32)
         self.start[at:end] = self.used + np.cumsum(count) - count
         self.count[at:end] = count
         self.used, self.words = self.used + n, end
 
-    def ids(self, words: list) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of these words, one after the other, and how many each has."""
+    def ids(self, words: list, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words, or of those at the places given, one after the other, and how many each has."""
         if self.words > WORDS:
             self.reset()
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         new, self.number.new = self.number.new, []
         for k in range(0, len(new), 8192):
             self._add(self.encode_many(new[k : k + 8192]))
+        at = at if places is None else at[places]
         n, first = self.count[at], self.start[at]
         ends = np.cumsum(n)
         out = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)]

@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -166,10 +167,10 @@ class Transducer:
             last.append(best[1])
         return last
 
-    def shortest_of(self, units: list[str]) -> list[list[int]]:
+    def shortest_of(self, units: list[str]) -> list[bytes]:
         """Ids along the shortest paths through the lattices of words; words in order share the paths of their beginnings."""
         search = self._bpe_path if self.type == BPE else self._unigram_path
-        found: dict[str, list[int]] = {}
+        found: dict[str, bytes] = {}
         before, last = "", [""]
         for unit in sorted(units):
             k = 0
@@ -178,11 +179,11 @@ class Transducer:
                     break
                 k += 1
             before, last = unit, search(unit, last[: k + 1])
-            found[unit] = self._ids(unit, last)
+            found[unit] = array("I", self._ids(unit, last)).tobytes()
         return [found[u] for u in units]
 
     def shortest(self, unit: str) -> list[int]:
-        return self.shortest_of([unit])[0]
+        return array("I", self.shortest_of([unit])[0]).tolist()
 
     def _ids(self, unit: str, last: list[str]) -> list[int]:
         path, end = [], len(unit)
