@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import settled
 
 SAMPLE, CODE_SAMPLE, CELLS, SUBSPACES, CODES = 1 << 14, 1 << 13, 512, 16, 256
-AIM, TUNING_QUERIES = 0.96, 256
-RERANK, PART, BLOCK, STEP = 128, 8192, 1 << 15, 512
+AIM, TUNING_QUERIES = 0.97, 256
+RERANK, PART, BLOCK, STEP = 512, 8192, 1 << 15, 512
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
