@@ -31,6 +31,24 @@ def test_deltas_and_repeated_batches(spark, tmp_path):
     assert r.compact() and state(r) == {k: v for k, v in want.items() if k != ("s", "en", "2")}
 
 
+def test_real_tokenizers_over_all_documents(spark, sf):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from tickspark.llm import packing, queries
+    from tickspark.llm.sentencepiece_fst import model_path
+
+    words, pieces = Tokenizer.from_file(packing.tokenizer_path()), sentencepiece.SentencePieceProcessor(model_file=model_path())
+    want = {}
+    for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        t = d["text"] or ""
+        for version, n in (("word_bpe_49k", len(words.encode(t, add_special_tokens=False).ids)), ("piece_bpe_32k", len(pieces.encode(t)))):
+            docs, tokens = want.get((d["source"], d["lang"], version), (0, 0))
+            want[d["source"], d["lang"], version] = docs + 1, tokens + n
+    got = queries.QUERIES["op8_tokenizer_counts"](spark, sf)
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in got.collect()} == want
+
+
 def test_a_marker_is_created_once(spark, tmp_path):
     r = t.Rollup(spark, str(tmp_path / "m"))
     assert r._marker("batch-x", {"table": "1"}) and not r._marker("batch-x", {"table": "2"})

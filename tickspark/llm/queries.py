@@ -42,6 +42,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.corpus_counts(spark, sf_dir)
 
 
+def op8_tokenizer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.tokenizer_counts(spark, sf_dir)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
+    "op8_tokenizer_counts": op8_tokenizer_counts,
     "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
 }

@@ -14,13 +14,19 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import packing, sentencepiece_fst
 from .common import settled, shared_dir, table, words
 
 KEYS = ("source", "lang", "version")
+#: Words that a worker keeps for each of the two tokenizers that it has at once.
+KEPT = 300_000
 SCHEMA = "source string, lang string, version string, n_docs bigint, n_tokens bigint"
 
 
@@ -141,6 +147,58 @@ def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def tokenized(docs: DataFrame) -> DataFrame:
+    """source, lang, ``w`` (whitespace words) and the tokens of every row by the word tokenizer (``bpe``) and the piece model (``piece``)."""
+    word_path = packing.tokenizer_path()
+    model = docs.sparkSession.sparkContext.broadcast(sentencepiece_fst._model(sentencepiece_fst.model_path()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, fst = packing._encoder(word_path), sentencepiece_fst._compiled(model.value)
+        for b in batches:
+            for at in range(0, b.num_rows, packing.TOGETHER):
+                part = b.slice(at, packing.TOGETHER)
+                _, word_ends = encoder.encode(part.column(3))
+                _, piece_ends = fst.cache.texts([fst.units(t) for t in part.column(3).to_pylist()])
+                if encoder.cache.words > KEPT or len(encoder.stems) > KEPT:
+                    encoder.cache.reset()
+                    encoder.stems = {"": b""}
+                if fst.cache.words > KEPT:
+                    fst.cache.reset()
+                yield pa.record_batch([*part.columns[:3], pa.array(np.diff(np.r_[0, word_ends]), pa.int64()), pa.array(np.diff(np.r_[0, piece_ends]), pa.int64())], ["source", "lang", "w", "bpe", "piece"])
+
+    rows = docs.select(F.col("source").cast("string"), F.col("lang").cast("string"), word_tokens(F.col("text")).alias("w"), "text")
+    return rows.mapInArrow(run, "source string, lang string, w bigint, bpe bigint, piece bigint")
+
+
+#: Versions of the totals of ``tokenizer_counts``, and the columns of ``tokenized`` that have their counts.
+TOKENIZERS = {"word_bpe_49k": "bpe", "piece_bpe_32k": "piece"}
+
+
+def tokenizer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all of ``documents`` by both real tokenizers after four batches: all inserted by the word tokenizer and, as
+    a first guess to be revised, by whitespace words; those of under ten words deleted, sent twice; these inserted again by
+    both; the guesses of the others revised to the counts of the piece model. The store is compacted between."""
+    counted = settled(tokenized(table(spark, sf_dir, "documents")), "tokenized")
+    rollup = Rollup(spark, f"{shared_dir(spark)}/tokenizer-rollup-{uuid.uuid4().hex}")
+    bpe, piece = TOKENIZERS
+    none = [F.lit(None).cast("string").alias(f"old_{k}") for k in KEYS] + [F.lit(None).cast("long").alias("old_tokens")]
+
+    def rows(op: str, of: DataFrame, counts: dict[str, str]) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(v).alias("version"), F.col(c).alias("tokens")) for v, c in counts.items()]))
+        return of.select("source", "lang", each.alias("x")).select(F.lit(op).alias("op"), "source", "lang", "x.version", "x.tokens", *none)
+
+    short, rest = counted.where("w < 10"), counted.where("w >= 10")
+    guess = {bpe: TOKENIZERS[bpe], "words-1": "w"}
+    rollup.apply("0001", rows("insert", counted, guess))
+    for _ in range(2):
+        rollup.apply("0002", rows("delete", short, guess))
+    rollup.compact()
+    rollup.apply("0003", rows("insert", short, TOKENIZERS))
+    old = [F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), F.lit("words-1").alias("old_version"), F.col("w").alias("old_tokens")]
+    rollup.apply("0004", rest.select(F.lit("revise").alias("op"), "source", "lang", F.lit(piece).alias("version"), F.col(TOKENIZERS[piece]).alias("tokens"), *old))
+    return rollup.totals()
+
+
 ORACLE_SQL = r"""
 with d as (select source, lang, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) as w,
   ceil(length(coalesce(text, '')) / 4)::bigint as q from documents),
