@@ -78,6 +78,16 @@ def test_added_kinds(spark):
     assert bare["spans"] == ""
 
 
+def test_context_and_secrets_of_any_length(spark):
+    long = "k" * 45 + "1" + "Ab3" * 60
+    texts = ["call 212-555-0199, 212-555-0198", "ssn 123-45-6789, 123-45-6788, 123-45-6787", "212-555-0199 212-555-0198 call", f"token {long}", "call " + "x" * 40 + " 212-555-0199", "call 212-555-0199" + ", 212-555-0198" * 9]
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.detect(rows(spark, texts)).collect()}
+    assert got[0] == ["local_phone:5:17", "local_phone:19:31"] and [x[:3] for x in got[1]] == ["ssn"] * 3
+    assert len(got[2]) == 2 and got[3] == [f"secret:6:{6 + len(long)}"] and got[4] == [""]
+    assert [int(x.split(":")[1]) for x in got[5]] == [5, 19, 33]
+    assert pii.redact(rows(spark, texts[:1])).first()["text"] == "call [LOCAL_PHONE], [LOCAL_PHONE]"
+
+
 def test_redact_hides_every_span_and_keeps_columns(spark):
     docs = rows(spark, HARD).withColumn("n_chars", F.length("text").cast("long")).withColumn("_found", F.lit("mine"))
     got = pii.redact(docs.drop("_found")).orderBy("doc_id").collect()

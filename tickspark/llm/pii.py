@@ -35,6 +35,8 @@ class Kind:
     valid: Callable[[Column], Column]
     score: float
     context: str
+    #: Code points of the shortest match.
+    least: int
     base: bool = False
 
 
@@ -65,17 +67,17 @@ def _iban(m: Column) -> Column:
 #: In the order of ties: the base kinds as listed, then the added ones.
 KINDS = (
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: F.contains(t, F.lit("@")), lambda m: F.lit(True), 0.9, "mail|contact|write|address", True),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: F.contains(t, F.lit("@")), lambda m: F.lit(True), 0.9, "mail|contact|write|address", 5, True),
     # [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
-    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda t: t.rlike(r"[0-9]\.[0-9]"), _ip, 0.6, "ip|host|server|address|login", True),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda t: t.rlike(r"[0-9]\.[0-9]"), _ip, 0.6, "ip|host|server|address|login", 7, True),
     # [0-9]([\x20-]?[0-9])+
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", lambda t: t.rlike("[0-9][ -]?[0-9]"), _card, 0.7, "card|visa|credit|payment|karte|carte|tarjeta", True),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", lambda t: t.rlike("[0-9][ -]?[0-9]"), _card, 0.7, "card|visa|credit|payment|karte|carte|tarjeta", 2, True),
     # \+[0-9][\x20().0-9-]+[0-9]
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+")), lambda m: F.length(_digits(m)).between(9, 15), 0.7, "phone|call|tel|fax|mobile", True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda t: t.rlike("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), _iban, 0.8, "iban|bank|account|konto|compte|cuenta"),
-    Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda t: t.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"), lambda m: F.lit(True), 0.5, "ssn|social security|social"),
-    Kind("local_phone", r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])", lambda t: t.rlike("[0-9]{3}[ .-][0-9]{4}"), lambda m: F.lit(True), 0.4, "phone|call|tel|fax|mobile|dial"),
-    Kind("secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{32,128}(?![A-Za-z0-9+/_-])", lambda t: t.rlike("[A-Za-z0-9+/_-]{32}"), lambda m: F.lit(True), 0.3, "token|secret|api|key|password|passwd|bearer"),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+")), lambda m: F.length(_digits(m)).between(9, 15), 0.7, "phone|call|tel|fax|mobile", 4, True),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda t: t.rlike("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), _iban, 0.8, "iban|bank|account|konto|compte|cuenta", 12),
+    Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda t: t.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"), lambda m: F.lit(True), 0.5, "ssn|social security|social", 11),
+    Kind("local_phone", r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])", lambda t: t.rlike("[0-9]{3}[ .-][0-9]{4}"), lambda m: F.lit(True), 0.4, "phone|call|tel|fax|mobile|dial", 12),
+    Kind("secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{32,}+(?![A-Za-z0-9+/_-])", lambda t: t.rlike("[A-Za-z0-9+/_-]{32}"), lambda m: F.lit(True), 0.3, "token|secret|api|key|password|passwd|bearer", 32),
 )
 CONTEXT = 0.3
 
@@ -85,7 +87,11 @@ def _found(i: int, kind: Kind) -> Column:
     ms, gaps, starts = F.col(f"_m{i}"), F.col(f"_g{i}"), F.col(f"_s{i}")
 
     def span(m: Column, j: Column) -> Column:
-        near = F.lower(F.concat(F.right(F.get(gaps, j), F.lit(BEFORE)), F.lit(" "), F.left(F.get(gaps, j + 1), F.lit(AFTER))))
+        # The text around a match, put together again from as many matches and gaps as can lie in it.
+        back, ahead = F.least(j, F.lit(-(-BEFORE // kind.least))), -(-AFTER // kind.least)
+        before = F.concat(F.array_join(F.zip_with(F.slice(gaps, j - back + 1, back), F.slice(ms, j - back + 1, back), lambda a, b: F.concat(a, b)), ""), F.get(gaps, j))
+        after = F.concat(F.get(gaps, j + 1), F.array_join(F.zip_with(F.slice(ms, j + 2, ahead), F.slice(gaps, j + 3, ahead), lambda a, b: F.concat(a, b)), ""))
+        near = F.lower(F.concat(F.right(before, F.lit(BEFORE)), F.lit(" "), F.left(after, F.lit(AFTER))))
         score = F.lit(kind.score) + F.when(near.rlike(rf"\b(?:{kind.context})"), F.lit(CONTEXT)).otherwise(F.lit(0.0))
         s = F.get(starts, j)
         return F.struct(s.alias("s"), F.lit(i).alias("k"), (s + F.length(m)).alias("e"), F.least(score, F.lit(1.0)).alias("score"), m.alias("m"))
