@@ -30,6 +30,16 @@ def test_path_equals_brute_force():
             assert tuple(m.path(s)) == best
 
 
+def test_two_other_languages_share_a_switch():
+    m, rng = model()
+    assert m.path(np.array([[0.0, 14, -20], [0, -20, 14]])).tolist() == [1, 2]
+    value = lambda s, p: sum(s[i, k] for i, k in enumerate(p)) - g.SWITCH * sum(x != y for x, y in itertools.pairwise(p))
+    for _ in range(300):
+        s = rng.normal(size=(5, 4)) * 9
+        best = max(value(s, p) for p in itertools.product(range(4), repeat=5))
+        assert abs(value(s, m.path(s)) - best) < 1e-9
+
+
 def test_spans_and_scripts(spark):
     train = [(i, w, lang) for i, (w, lang) in enumerate([("the house and the garden are here with them", "en"), ("дом и сад здесь вместе с ними", "ru"), ("das haus und der garten sind schön hier", "de")] * 40)]
     docs = spark.createDataFrame(train, "doc_id long, text string, lang string")

@@ -5,8 +5,10 @@ script in the training rows; its score in each language is the log probability o
 word ends included. Viterbi finds the best sequence of languages over the words of a text, where a change of language
 costs ``SWITCH``; that labels the spans. A text's language is the one with most letters, its score that share of letters.
 
-Most texts stay in one language: that is proved, without the dynamic program, if no stretch of words gains as much as
-one switch costs in any other language. Only the others run it.
+Most texts stay in the language of the best sum: that is proved, without the dynamic program, if no stretch of words gains
+more than one switch costs in any other language, and a first and a last stretch together gain no more either. A path
+that has the best language somewhere pays a switch for each stretch of another one; a path that has it nowhere pays one
+less, and its first and last stretch have to make up for that switch. Only the others run the dynamic program.
 
 The model is fitted on at most ``SAMPLE`` rows of each of at most ``LANGUAGES`` languages, the first by a hash of doc_id
 (counts of n-grams, never texts, reach the driver: a table of fixed size for each language). Everything else
@@ -129,7 +131,8 @@ class Model:
         best = int(s.sum(axis=0).argmax())
         gain = np.cumsum(s - s[:, best : best + 1], axis=0)
         low = np.minimum.accumulate(np.vstack([np.zeros_like(gain[:1]), gain[:-1]]), axis=0)
-        if (gain - low).max() <= SWITCH:
+        first, last = gain.max(), (gain[-1] - low[-1]).max()
+        if (gain - low).max() <= SWITCH and first + last <= SWITCH:
             return np.full(len(s), best)
         n, many = s.shape
         total, back = s[0].copy(), np.empty((n, many), np.int32)
