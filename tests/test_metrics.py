@@ -86,8 +86,23 @@ def test_auto_tick_size(spark):
         ticksize.calculate_auto_ticksize(1.0, target_ticks=0)
 
 
-def test_global_sequence_is_dense_and_ordered(spark):
-    df = spark.range(5000).select(F.xxhash64("id").alias("k"), "id").repartition(7)
-    rows = with_seq(df, ["k"]).orderBy("k").collect()
-    assert [r["seq"] for r in rows] == list(range(1, 5001))
+@pytest.mark.parametrize("wide", [False, True])
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_global_sequence_is_dense_and_ordered(spark, wide, coalesce):
+    n = 200_000
+    df = spark.range(n).select(F.xxhash64("id").alias("k"), "id", *[F.repeat(F.lit("x"), 40 + i).alias(f"c{i}") for i in range(8 * wide)]).repartition(7)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    for k, v in zip(old, (coalesce, "64k", "37"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        rows = with_seq(df, ["k"])
+        assert rows.columns == [*df.columns, "seq"]
+        got = rows.select("k", "seq").toPandas().sort_values("k")
+        assert got["seq"].tolist() == list(range(1, n + 1))
+        # Narrower reads of the same table see the same numbers.
+        assert rows.agg(F.sum("seq"), F.count_if(F.col("seq").isNull())).first() == (n * (n + 1) // 2, 0)
+        assert rows.join(rows.select(F.col("seq").alias("t"), F.col("id").alias("j")), F.col("seq") == F.col("t")).where("id <> j").count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
     assert with_seq(df.limit(0), ["k"]).count() == 0
