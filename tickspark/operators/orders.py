@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickspark.functions.quantize import parsed_tag, price_half_away, scale_qty
-from tickspark.sources.schema import ORDER_TYPES, ORDERS, SIDES
+from tickspark.sources.schema import ORDER_TYPES, ORDERS, SIDES, bounded
 
 MAX_OPEN = 1024
 
@@ -39,8 +39,8 @@ def from_rows(spark: SparkSession, rows: list[tuple], tick_size: float) -> DataF
 
 
 def sweep(orders: DataFrame, configs: DataFrame) -> DataFrame:
-    """The same orders for every run of a configuration table, whose size the caller bounds."""
-    runs = F.broadcast(configs.select("run_id"))
+    """The same orders for every run of a configuration table."""
+    runs = bounded(configs.select("run_id"))
     return orders.drop("run_id").join(runs, F.lit(True)).select(*[c.split()[0] for c in ORDERS.split(", ")])
 
 

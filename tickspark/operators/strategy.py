@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickspark.sources.schema import bounded
+
 from .kernel import Engine
 
 HISTORY = "run_id string, symbol string, seq bigint, ts_ms bigint, cash double, position double, avg_entry_price double, realized_pnl double, unrealized_pnl double, equity double, equity_mtm double, n_fills bigint, n_refused bigint"
@@ -20,7 +22,7 @@ def run(ticks: DataFrame, configs: DataFrame, on_tick: OnTick, weighted: bool =
 
     Rows stream through sorted partitions, so a task holds an account and its open orders, never a run's ticks.
     """
-    rows = ticks.select("symbol", "seq", "ts_ms", "price_tick", "side", *extra).join(F.broadcast(configs), F.lit(True))
+    rows = ticks.select("symbol", "seq", "ts_ms", "price_tick", "side", *extra).join(bounded(configs), F.lit(True))
     rows = rows.repartition("run_id", "symbol").sortWithinPartitions("run_id", "symbol", "seq")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

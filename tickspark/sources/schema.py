@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SIDE_BUY, SIDE_SELL = 0, 1
 ORDER_LIMIT, ORDER_MARKET = 0, 1
@@ -42,5 +43,19 @@ class RunConfig:
 
 
 def configs(spark: SparkSession, runs: list[RunConfig]) -> DataFrame:
-    """One row for each run, to be broadcast: the caller's list bounds its size."""
-    return spark.createDataFrame([r.row() for r in runs], CONFIGS)
+    """One row for each run."""
+    names = [c.split()[0] for c in CONFIGS.split(", ")]
+    values = {f"{n}_{i}": x for i, r in enumerate(runs) for n, x in zip(names, r.row(), strict=True)}
+    rows = ", ".join(f"({', '.join(f':{n}_{i}' for n in names)})" for i in range(len(runs)))
+    return spark.sql(f"select * from values {rows} as t({', '.join(names)})", values) if runs else spark.createDataFrame([], CONFIGS)
+
+
+#: Bytes, by the optimizer's estimate, and rows up to which a table is broadcast.
+BROADCAST_BYTES, BROADCAST_ROWS = 64 << 20, 100_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it is small by its plan's estimate, or else by a count of a few of its rows; a larger
+    one is joined as the optimizer sees fit."""
+    small = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= BROADCAST_BYTES
+    return F.broadcast(df) if small or df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
