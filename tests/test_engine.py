@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickspark.engine import Backtest, backtest_events
 from tickspark.operators import fills, ledger, strategy
 from tickspark.operators.kernel import Engine, Order
-from tickspark.operators.orders import apply_cancels, first_buy_strategy, from_rows, open_peak
+from tickspark.operators.orders import apply_cancels, first_buy_strategy, from_rows, open_peak, refused
 from tickspark.sources.schema import RunConfig, configs
 
 
@@ -188,3 +188,65 @@ def test_strategies(spark):
     assert len(h) == 14 and {r["position"] for r in h if r["seq"] >= 2} == {1.0}
     last = strategy.run(t, configs(spark, [RunConfig("a"), RunConfig("b", spread_bps=0.0)]), hold, every_tick=False).collect()
     assert {(r["run_id"], r["seq"]) for r in last} == {("a", 7), ("b", 7)}
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+def test_blocks_and_tree_of_any_size_give_the_same(spark, monkeypatch, weighted):
+    config = RunConfig(initial_cash=10_000.0, spread_bps=3.0)
+    events = random_run(5, 150, 120)
+    whole = backtest_events(spark, events, config, weighted)
+    want = [tuple(r) for r in whole.history().select("seq", "cash", "position", "average", "realized").orderBy("seq").collect()]
+    trades = [tuple(r) for r in whole.trades().select("order_seq", "position", "pnl").orderBy("order_seq").collect()]
+    monkeypatch.setattr(ledger, "BLOCK", 7)
+    monkeypatch.setattr(fills, "FAN", 4)
+    monkeypatch.setattr(fills, "SMALL_LEVEL", 10)
+    parts = backtest_events(spark, events, config, weighted)
+    got = [tuple(r) for r in parts.history().select("seq", "cash", "position", "average", "realized").orderBy("seq").collect()]
+    assert got == [pytest.approx(w, rel=1e-9, abs=1e-7) for w in want]
+    got = [tuple(r) for r in parts.trades().select("order_seq", "position", "pnl").orderBy("order_seq").collect()]
+    assert got == [pytest.approx(w, rel=1e-9, abs=1e-7) for w in trades]
+
+
+def test_many_orders_of_one_symbol_meet_in_no_large_task(spark):
+    n = 20_000
+    t = spark.range(1, n + 1).select(F.lit("s").alias("symbol"), F.col("id").alias("seq"), F.col("id").alias("ts_ms"), (F.lit(1000) + F.pmod(F.col("id") * 7919, F.lit(997))).alias("price_tick"))
+    o = t.select(F.lit("run").alias("run_id"), "symbol", F.col("seq").alias("order_seq"), F.col("seq").alias("placed_after_seq"), F.lit("LIMIT").alias("order_type"), F.when(F.col("seq") % 2 == 0, "BUY").otherwise("SELL").alias("side"), F.lit(1).alias("qty_scaled"), F.when(F.col("seq") % 2 == 0, 1002).otherwise(1990).cast("long").alias("limit_tick"))
+    price = [1000 + i * 7919 % 997 for i in range(n + 1)]
+    want, low, high = {}, None, None
+    for i in range(n, 0, -1):
+        first = low if i % 2 == 0 else high
+        if first:
+            want[i] = first
+        low, high = i if price[i] <= 1002 else low, i if price[i] >= 1990 else high
+    got = fills.first_crossing(o, t)
+    assert {r["order_seq"]: r["fill_seq"] for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and plan.count("Join LeftOuter") >= 3
+
+
+def test_cap_on_open_orders(spark):
+    rng = random.Random(3)
+    e, events, ticks, orders, cancels, refused_ = Engine(1e6, 2.0, 0.0, 0.01), [], [], [], [], set()
+    for seq in range(1, 200):
+        tick = 10_000 + rng.randint(-30, 30)
+        ticks.append(("s", seq, seq, tick))
+        e.step(seq, tick)
+        for _ in range(rng.randint(0, 3)):
+            k = len(orders)
+            limit = 100 + rng.randint(-60, 60) / 100
+            side = rng.choice(["BUY", "SELL"])
+            orders.append(("run", "s", k, seq, "LIMIT", side, 1.0, limit))
+            if len(e.orders) >= 12:
+                refused_.add(k)
+            else:
+                e.place(Order(k, "LIMIT", side, 10**6, int(limit * 100 + 0.5)))
+        if orders and rng.random() < 0.3:
+            k = rng.randrange(len(orders))
+            if e.cancel(k) == 0:
+                cancels.append(("run", "s", k, seq))
+    t = spark.createDataFrame(ticks, "symbol string, seq long, ts_ms long, price_tick long")
+    o = from_rows(spark, orders, 0.01)
+    c = spark.createDataFrame(cancels, "run_id string, symbol string, order_seq long, cancel_after_seq long")
+    f = fills.fills(o, t, configs(spark, [RunConfig(spread_bps=0.0)]))
+    assert refused_ and {r["order_seq"] for r in refused(o, f, c, most=12).collect()} == refused_
+    assert refused(o, f, c, most=10_000).count() == 0

@@ -59,7 +59,9 @@ def test_result_sinks(spark, tmp_path):
     r.to_csv(str(tmp_path / "eq"), files=1)
     back = spark.read.option("header", True).csv(str(tmp_path / "eq"))
     assert back.columns == ["timestamp", "equity", "cash", "position", "realized_pnl", "unrealized_pnl"] and back.count() == 4
-    assert "Total Return: 2.00%" in r.summary() and "Profit" not in r.summary()
+    assert r.summary() == "Backtest Results:\n-----------------\nTotal Return: 2.00%\nMax Drawdown: -1.00%\nSharpe Ratio: 8.50\nWin Rate: 50.00%\nTotal Trades: 2\nAvg Trade: 0.0002"
+    other = BacktestResult(r.snapshots.withColumnRenamed("equity", "value"), r.trades.withColumnRenamed("pnl", "profit"))
+    assert other.metrics() == got
     out = tearsheet(r, str(tmp_path / "sheet"))
     assert spark.read.option("header", True).csv(f"{out}/equity.csv").columns == ["timestamp", "equity", "drawdown"]
     none = BacktestResult(snapshots(spark, [1.0]).limit(0), trades(spark, [1]).limit(0))

@@ -1,16 +1,17 @@
-"""A run as one object: ticks and orders in, snapshots, fills and metrics out. Every step is a plan until it is read."""
+"""A run as one object: ticks and orders in, snapshots, fills and metrics out. Fills are stored when they are first asked for; the rest are plans."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickspark.operators import fills as fills_of
 from tickspark.operators import ledger
-from tickspark.operators.orders import apply_cancels, from_rows
+from tickspark.operators.orders import accepted, apply_cancels, from_rows
 from tickspark.sources.schema import RunConfig, configs
+from tickspark.sources.scratch import stored
 from tickspark.sources.sinks import BacktestResult
 
 
@@ -25,14 +26,19 @@ class Backtest:
     runs: list[RunConfig] = field(default_factory=lambda: [RunConfig()])
     cancels: DataFrame | None = None
     weighted: bool = True
+    _fills: DataFrame | None = field(default=None, init=False, repr=False)
 
     @property
     def configs(self) -> DataFrame:
         return configs(self.spark, self.runs)
 
     def fills(self) -> DataFrame:
-        out = fills_of.fills(self.orders, self.ticks, self.configs)
-        return apply_cancels(out, self.cancels) if self.cancels is not None else out
+        """Fills of the orders that the kernel would take and that are not cancelled before."""
+        if self._fills is None:
+            every = stored(fills_of.fills(self.orders, self.ticks, self.configs), "fills")
+            out = accepted(every, self.orders, self.cancels)
+            self._fills = stored(apply_cancels(out, self.cancels) if self.cancels is not None else out, "taken")
+        return self._fills
 
     def trades(self) -> DataFrame:
         """Fills with the profit that each realized."""
@@ -46,8 +52,12 @@ class Backtest:
     def history(self) -> DataFrame:
         return ledger.history(self.fills(), self.ticks, self.configs, self.weighted)
 
+    def reset(self) -> Backtest:
+        """The same run anew: plans hold no state, so this is a copy."""
+        return replace(self)
+
     def result(self, equity: str = "equity") -> BacktestResult:
-        return BacktestResult(self.history(), self.trades(), {"runs": [r.as_dict() for r in self.runs]}, equity)
+        return BacktestResult(stored(self.history(), "history"), stored(self.trades(), "trades"), {"runs": [r.as_dict() for r in self.runs]}, equity)
 
 
 def backtest_events(spark: SparkSession, events: list[tuple], config: RunConfig, weighted: bool = True) -> Backtest:

@@ -77,11 +77,32 @@ def side_from_code(code: Column) -> Column:
     return F.when(code == 0, "BUY").when(code == 1, "SELL").otherwise(F.raise_error(F.concat(F.lit("invalid side: "), F.coalesce(code.cast("string"), F.lit("null")))))
 
 
+def side_number(side: Column) -> Column:
+    """0 for BUY, 1 for SELL, of a tag in any case; any other value fails the query."""
+    return F.when(parsed_tag(side, ("BUY", "SELL"), "side") == "SELL", 1).otherwise(0)
+
+
+def order_type_number(kind: Column) -> Column:
+    """0 for LIMIT, 1 for MARKET, of a tag in any case; any other value fails the query."""
+    return F.when(parsed_tag(kind, ("LIMIT", "MARKET"), "order type") == "MARKET", 1).otherwise(0)
+
+
+def ms_to_timestamp(ms: Column) -> Column:
+    """Milliseconds to a timestamp, which is shown in the time zone of the session."""
+    return F.timestamp_millis(ms)
+
+
+#: Bounds of the steps; fixed values.
+NICE = ((1.5, 1.0), (3.0, 2.0), (3.5, 2.5), (7.0, 5.0))
+
+
 def nice_step(value: Column) -> Column:
     """The step of 1, 2, 2.5, 5 or 10 times a power of ten that the value is close to; null for values that are not positive."""
     power = F.pow(F.lit(10.0), F.floor(F.log10(value)))
     n = value / power
-    step = F.when(n <= 1.5, 1.0).when(n <= 3.0, 2.0).when(n <= 3.5, 2.5).when(n <= 7.0, 5.0).otherwise(10.0)
+    step = F.lit(10.0)
+    for bound, size in reversed(NICE):
+        step = F.when(n <= bound, size).otherwise(step)
     return F.when(value > 0, step * power)
 
 

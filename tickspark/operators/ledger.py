@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickspark.sources.schema import bounded
+from tickspark.sources.scratch import stored
 
 from .kernel import Account
 
@@ -112,11 +113,12 @@ def fold_final(filled: DataFrame, configs: DataFrame, weighted: bool = True) ->
     return last.select(*RUN, "s.*")
 
 
-def states(filled: DataFrame, configs: DataFrame, weighted: bool = True) -> DataFrame:
+def states(filled: DataFrame, configs: DataFrame, weighted: bool = True, blocks: DataFrame | None = None) -> DataFrame:
     """fills with the state after each, and the profit each realized: one pass over the sorted fills of each block, from the
-    state before it."""
+    state before it. blocks is the result of ``carried``, where it is there already."""
     rows = filled.withColumn("_block", _block("fill_seq"))
-    rows = rows.join(carried(filled, configs, weighted).drop("n_fills", *STATE), [*RUN, "_block"]).join(bounded(configs.select("run_id", "tick_size", "taker_bps")), "run_id")
+    blocks = carried(filled, configs, weighted) if blocks is None else blocks
+    rows = rows.join(blocks.drop("n_fills", *STATE), [*RUN, "_block"]).join(bounded(configs.select("run_id", "tick_size", "taker_bps")), "run_id")
     rows = rows.withColumnRenamed("_block", "block").repartition(*RUN, "block").sortWithinPartitions(*RUN, "block", "fill_seq", "order_seq")
     keep = [f.name for f in filled.schema]
 
@@ -155,14 +157,15 @@ def final_snapshot(filled: DataFrame, ticks: DataFrame, configs: DataFrame, weig
 
 def history(filled: DataFrame, ticks: DataFrame, configs: DataFrame, weighted: bool = True) -> DataFrame:
     """The state after every tick of every run (after the tick's fills, before orders placed on it)."""
-    after = states(filled, configs, weighted)
+    blocks = stored(carried(filled, configs, weighted), "carried")
+    after = states(filled, configs, weighted, blocks)
     after = after.groupBy(*RUN, "fill_seq").agg(F.max_by(F.struct(*STATE), "order_seq").alias("s")).select(*RUN, F.col("fill_seq").alias("seq"), "s")
     runs = bounded(configs.select("run_id", "initial_cash", "tick_size"))
     # The state before each block of ticks: that after the last block before it that has fills.
-    ends = carried(filled, configs, weighted).select(*RUN, F.col("_block").alias("block"), F.struct(*STATE).alias("end"))
-    blocks = ticks.select("symbol", _block("seq").alias("block")).distinct().join(runs.select("run_id"), F.lit(True)).join(ends, [*RUN, "block"], "left")
+    ends = blocks.select(*RUN, F.col("_block").alias("block"), F.struct(*STATE).alias("end"))
+    spans = ticks.select("symbol", _block("seq").alias("block")).distinct().join(runs.select("run_id"), F.lit(True)).join(ends, [*RUN, "block"], "left")
     w = Window.partitionBy(*RUN).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    opened = blocks.select(*RUN, "block", F.last("end", ignorenulls=True).over(w).alias("before"))
+    opened = spans.select(*RUN, "block", F.last("end", ignorenulls=True).over(w).alias("before"))
     rows = ticks.select("symbol", "seq", "ts_ms", "price_tick").withColumn("block", _block("seq")).join(runs, F.lit(True))
     rows = rows.join(after, [*RUN, "seq"], "left").join(opened, [*RUN, "block"], "left")
     w = Window.partitionBy(*RUN, "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)

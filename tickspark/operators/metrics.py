@@ -10,9 +10,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 65_536
+#: Profit factor without losses; fixed value.
 NO_LOSS = 999.99
 
 
+#: Names a value may have, the first that is there counts; fixed values.
+EQUITY, PNL = ("equity", "value"), ("pnl", "profit")
+
+
+def pick(df: DataFrame, names: tuple[str, ...]) -> str:
+    """The first of these columns that df has."""
+    for n in names:
+        if n in df.columns:
+            return n
+    raise ValueError(f"none of the columns {', '.join(names)}")
+
+
 def curve(snapshots: DataFrame, by: tuple[str, ...] = ("run_id", "symbol"), equity: str = "equity", order: str = "seq") -> DataFrame:
     """snapshots with the running peak of the equity, the drawdown from it, and the return on the row before."""
     rows = snapshots.withColumn("_block", F.floor(F.col(order) / BLOCK).cast("long"))
@@ -49,9 +62,9 @@ def trade_metrics(trades: DataFrame, by: tuple[str, ...] = ("run_id", "symbol"),
     return trades.groupBy(*by).agg(F.count("*").alias("total_trades"), F.avg((p > 0).cast("double")).alias("win_rate"), F.avg(p).alias("mean_pnl"), factor.alias("profit_factor"))
 
 
-def summary(curved: DataFrame, trades: DataFrame, by: tuple[str, ...] = ("run_id", "symbol")) -> DataFrame:
+def summary(curved: DataFrame, trades: DataFrame, by: tuple[str, ...] = ("run_id", "symbol"), equity: str | None = None) -> DataFrame:
     """All metrics of each run; those of trades are 0 where there are none."""
-    m = performance(curved, by).join(trade_metrics(trades, by), list(by), "left")
+    m = performance(curved, by, equity or pick(curved, EQUITY)).join(trade_metrics(trades, by, pick(trades, PNL)), list(by), "left")
     m = m.fillna(0, ["total_trades"]).fillna(0.0, ["win_rate", "mean_pnl", "profit_factor"])
     return m.withColumn("avg_trade", F.when(F.col("initial_equity") > 0, F.col("mean_pnl") / F.col("initial_equity")).otherwise(F.lit(0.0)))
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import heapq
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickspark.functions.quantize import parsed_tag, price_half_away, scale_qty
+from tickspark.operators.ledger import running_sums
 from tickspark.sources.schema import ORDER_TYPES, ORDERS, SIDES, bounded
 
 MAX_OPEN = 1024
@@ -54,13 +59,51 @@ def apply_cancels(filled: DataFrame, cancels: DataFrame) -> DataFrame:
     return filled.join(first, ["run_id", "symbol", "order_seq"], "left").where("cancel_after_seq is null or fill_seq <= cancel_after_seq").drop("cancel_after_seq")
 
 
+def refused(orders: DataFrame, filled: DataFrame, cancels: DataFrame | None = None, most: int = MAX_OPEN) -> DataFrame:
+    """(run_id, symbol, order_seq) of the orders that the kernel refuses because ``most`` are open when they are placed.
+
+    When an order would fill does not depend on the others, so only the orders of a run have to be gone through, never its
+    ticks: a task holds the ends of at most ``most`` open orders. Runs that never have so many open are left out before.
+    A cancelled order counts until the next tick.
+    """
+    key = ["run_id", "symbol", "order_seq"]
+    over = open_peak(orders, filled).where(F.col("peak_open") > most).select("run_id", "symbol")
+    rows = orders.join(over, ["run_id", "symbol"], "left_semi").select(*key, "placed_after_seq").join(filled.select(*key, "fill_seq"), key, "left")
+    if cancels is not None:
+        rows = rows.join(cancels.groupBy(*key).agg((F.min("cancel_after_seq") + 1).alias("gone")), key, "left")
+        rows = rows.withColumn("fill_seq", F.least("fill_seq", "gone")).drop("gone")
+    rows = rows.withColumn("fill_seq", F.coalesce("fill_seq", F.lit(2**62))).repartition("run_id", "symbol").sortWithinPartitions("run_id", "symbol", "placed_after_seq", "order_seq")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, ends = None, []
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                if (r.run_id, r.symbol) != run:
+                    run, ends = (r.run_id, r.symbol), []
+                while ends and ends[0] <= r.placed_after_seq:
+                    heapq.heappop(ends)
+                if len(ends) < most:
+                    heapq.heappush(ends, r.fill_seq)
+                else:
+                    out.append((*run, r.order_seq))
+            yield pd.DataFrame(out, columns=key)
+
+    return rows.mapInPandas(fold, "run_id string, symbol string, order_seq bigint")
+
+
+def accepted(filled: DataFrame, orders: DataFrame, cancels: DataFrame | None = None, most: int = MAX_OPEN) -> DataFrame:
+    """Fills of the orders that the kernel takes."""
+    return filled.join(refused(orders, filled, cancels, most), ["run_id", "symbol", "order_seq"], "left_anti")
+
+
 def open_peak(orders: DataFrame, filled: DataFrame) -> DataFrame:
-    """The most orders that were open at once in each run; above ``MAX_OPEN`` the kernel would have refused some.
+    """The most orders that were open at once in each run; above ``MAX_OPEN`` the kernel refuses some (``refused``).
 
-    Changes are summed for each tick before the running sum, so a run's rows are its ticks with changes.
+    Changes are summed for each tick first, and the running sum is taken in blocks.
     """
     placed = orders.groupBy("run_id", "symbol", F.col("placed_after_seq").alias("seq")).agg(F.count("*").alias("d"))
     closed = filled.groupBy("run_id", "symbol", F.col("fill_seq").alias("seq")).agg((-F.count("*")).alias("d"))
-    change = placed.union(closed).groupBy("run_id", "symbol", "seq").agg(F.sum("d").alias("d"), F.sum(F.when(F.col("d") > 0, F.col("d")).otherwise(0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("d")).otherwise(0)).alias("down"))
-    run = F.sum("d").over(Window.partitionBy("run_id", "symbol").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return change.withColumn("open", run).groupBy("run_id", "symbol").agg(F.max("open").alias("peak_open"), (F.max("open") > MAX_OPEN).alias("over_cap"))
+    change = placed.union(closed).groupBy("run_id", "symbol", "seq").agg(F.sum("d").alias("d"))
+    change = running_sums(change, "seq", [], {"open": F.col("d")})
+    return change.groupBy("run_id", "symbol").agg(F.max("open").alias("peak_open"), (F.max("open") > MAX_OPEN).alias("over_cap"))

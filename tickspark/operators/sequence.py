@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickspark.sources.scratch import scratch
+from tickspark.sources.scratch import stored
 
 
 def with_seq(df: DataFrame, order: list[str], by: list[str] | None = None, name: str = "seq") -> DataFrame:
@@ -23,13 +23,11 @@ def with_seq(df: DataFrame, order: list[str], by: list[str] | None = None, name:
     # Ids of a task start at its number shifted by 33 bits, and tasks are in the order of their ranges.
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
     placed = ranged.select(*[F.col(f"`{c}`") for c in df.columns], F.shiftright("__id", 33).cast("int").alias("__part"), F.col("__id").bitwiseAND(F.lit(2**33 - 1)).alias("__place"))
-    path = scratch(spark, "ranged")
-    placed.write.parquet(path)
-    stored = spark.read.schema(placed.schema).parquet(path)
+    rows = stored(placed, "ranged")
     base, before = [], 0
-    for r in sorted(stored.groupBy("__part").count().collect()):
+    for r in sorted(rows.groupBy("__part").count().collect()):
         base.append((r[0], before))
         before += r[1]
     lifts = spark.createDataFrame(base, "__part int, __base long")  # as many rows as the shuffle has partitions
-    out = stored.join(F.broadcast(lifts), "__part")
+    out = rows.join(F.broadcast(lifts), "__part")
     return out.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__base") + F.col("__place") + 1).alias(name))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickspark.functions.quantize import nice_step
+from tickspark.functions.quantize import NICE, nice_step
 
 LAST_ROWS = 100
 PRICE_SHARE = 0.002
@@ -43,7 +43,7 @@ def nice(value: float) -> float:
     if not value > 0:
         raise ValueError("value must be positive")
     power = 10.0 ** math.floor(math.log10(value))
-    for bound, step in ((1.5, 1.0), (3.0, 2.0), (3.5, 2.5), (7.0, 5.0)):
+    for bound, step in NICE:
         if value / power <= bound:
             return step * power
     return 10.0 * power

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickspark.functions.quantize import price_half_even, scale_qty, side_of_maker
 from tickspark.operators.sequence import with_seq
-from tickspark.sources.scratch import scratch
+from tickspark.sources.scratch import stored
 
 TICK_SIZE = 0.01
 
@@ -31,8 +31,4 @@ def plain_ticks(spark: SparkSession, sf_dir: str, by_user: bool = False) -> Data
 def ticks(spark: SparkSession, sf_dir: str, by_user: bool = False) -> DataFrame:
     """Numbered ticks, stored once: the engine reads them several times, and numbering a table takes a sort of it."""
     rows = with_seq(plain_ticks(spark, sf_dir, by_user), ["ts", "event_id"], ["symbol"] if by_user else None)
-    if not by_user:
-        return rows  # already stored
-    path = scratch(spark, "ticks")
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return stored(rows, "ticks") if by_user else rows  # numbers of a whole table are stored as they are made

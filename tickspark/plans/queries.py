@@ -15,7 +15,7 @@ from tickspark.operators.kernel import Order
 from tickspark.operators.orders import apply_cancels, first_buy_strategy, from_signals, open_peak, sweep
 from tickspark.sources.candle_files import read_candles
 from tickspark.sources.schema import RunConfig, configs
-from tickspark.sources.scratch import scratch
+from tickspark.sources.scratch import scratch, stored
 from tickspark.sources.trades import first_price, load_dataset
 from tickspark.streaming import bucket as stream_bucket
 from tickspark.streaming import engine as stream_engine
@@ -118,7 +118,7 @@ def market_event_union(spark: SparkSession, sf: str) -> DataFrame:
 
 def _fills(spark: SparkSession, sf: str, kind: str | None = None) -> DataFrame:
     t = ticks(spark, sf)
-    return fills.fills(orders(t, kind), t, configs(spark, [RUN]))
+    return stored(fills.fills(orders(t, kind), t, configs(spark, [RUN])), "fills")
 
 
 def _shown(f: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def cancelled_orders(spark: SparkSession, sf: str) -> DataFrame:
 def open_order_peak(spark: SparkSession, sf: str) -> DataFrame:
     t = ticks(spark, sf)
     o = orders(t)
-    return open_peak(o, fills.fills(o, t, configs(spark, [RUN]))).select("run_id", "peak_open", "over_cap")
+    return open_peak(o, stored(fills.fills(o, t, configs(spark, [RUN])), "fills")).select("run_id", "peak_open", "over_cap")
 
 
 def position_cash_prefix(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,22 +163,22 @@ def _final(s: DataFrame) -> DataFrame:
 
 def ledger_fold_final(spark: SparkSession, sf: str) -> DataFrame:
     t = ticks(spark, sf)
-    return _final(ledger.final_snapshot(fills.fills(orders(t), t, configs(spark, [RUN])), t, configs(spark, [RUN])))
+    return _final(ledger.final_snapshot(stored(fills.fills(orders(t), t, configs(spark, [RUN])), "fills"), t, configs(spark, [RUN])))
 
 
 def ledger_fold_compat(spark: SparkSession, sf: str) -> DataFrame:
     t = ticks(spark, sf)
-    return _final(ledger.final_snapshot(fills.fills(orders(t), t, configs(spark, [RUN])), t, configs(spark, [RUN]), weighted=False))
+    return _final(ledger.final_snapshot(stored(fills.fills(orders(t), t, configs(spark, [RUN])), "fills"), t, configs(spark, [RUN]), weighted=False))
 
 
 def param_sweep(spark: SparkSession, sf: str) -> DataFrame:
     t, runs = ticks(spark, sf), configs(spark, SWEEP)
-    return _final(ledger.final_snapshot(fills.fills(sweep(orders(t), runs), t, runs), t, runs))
+    return _final(ledger.final_snapshot(stored(fills.fills(sweep(orders(t), runs), t, runs), "fills"), t, runs))
 
 
 def _history(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     t, runs = ticks(spark, sf), configs(spark, [RUN])
-    f = fills.fills(orders(t), t, runs)
+    f = stored(fills.fills(orders(t), t, runs), "fills")
     return ledger.history(f, t, runs), ledger.states(f, runs)
 
 
@@ -255,20 +255,18 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", "event_type", (F.col("event_id") + 1).alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("value").alias("price"), price_half_even(F.col("value"), TICK_SIZE).alias("price_tick"), ((k + 1) / 100).alias("qty"), side_of_maker(k % 2 == 1).alias("side"))
 
 
-def _drained(out: DataFrame, name: str, mode: str) -> DataFrame:
+def _drained(out: DataFrame, name: str) -> DataFrame:
     """Runs a stream over what is there now and gives the table that it wrote."""
-    spark = out.sparkSession
-    path = scratch(spark, name)
-    if mode == "append":
-        out.writeStream.format("parquet").option("path", f"{path}/table").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    else:
-        put = lambda df, n: df.write.mode("overwrite").parquet(f"{path}/table")
-        out.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{path}/table")
+    path = scratch(out.sparkSession, name)
+    out.writeStream.format("parquet").option("path", f"{path}/table").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return out.sparkSession.read.schema(out.schema).parquet(f"{path}/table")
 
 
 def streaming_bucket_volume(spark: SparkSession, sf: str) -> DataFrame:
-    return _drained(stream_bucket.aggregate_ticks(_stream(spark, sf), BUCKET_MS), "buckets", "complete")
+    """Every bucket once, by partial sums: events come in the order of event_id, which is not that of time."""
+    path = scratch(spark, "buckets")
+    stream_bucket.bucket_tables(_stream(spark, sf), BUCKET_MS, f"{path}/table", f"{path}/late", f"{path}/state").awaitTermination()
+    return stream_bucket.read_buckets(spark.read.parquet(f"{path}/table"))
 
 
 def streaming_engine(spark: SparkSession, sf: str) -> DataFrame:
@@ -281,7 +279,7 @@ def streaming_engine(spark: SparkSession, sf: str) -> DataFrame:
     order = F.struct(F.lit("order").alias("kind"), (F.col("seq") * 4 + F.when(buy, 0).otherwise(1)).alias("order_seq"), F.lit("MARKET").alias("order_type"), F.when(buy, "BUY").otherwise("SELL").alias("side"), F.when(buy, 1_500_000).otherwise(750_000).cast("bigint").alias("qty_scaled"))
     rows = s.select("seq", "ts_ms", "price_tick", F.explode(F.when(buy | sell, F.array(tick, order)).otherwise(F.array(tick))).alias("x"))
     feed = rows.select(F.lit("run").alias("run_id"), F.lit("all").alias("symbol"), "x.kind", "seq", "ts_ms", "price_tick", "x.order_seq", "x.order_type", "x.side", "x.qty_scaled", none("bigint").alias("limit_tick"))
-    out = _drained(stream_engine.run(feed, RUN.initial_cash, RUN.taker_fee * 10_000, RUN.spread_bps, RUN.tick_size), "engine", "append")
+    out = _drained(stream_engine.run(feed, RUN.initial_cash, RUN.taker_fee * 10_000, RUN.spread_bps, RUN.tick_size), "engine")
     return out.where("n_fills > 0").select("seq", "ts_ms", F.round(F.col("position") * 1e6).cast("long").alias("position_scaled"), money("cash"), F.round("avg_entry_price", 6).alias("average"), "n_fills")
 
 

@@ -70,6 +70,16 @@ def batch_ticks(trades: DataFrame, tick_size: float, symbol: str = "all") -> Dat
     return with_seq(rows, ["ts_ms", "price", "qty", "side"]).drop("price")
 
 
+def unpack_batches(batches: DataFrame, names: tuple[str, ...] = ("ts_ms", "price_tick", "qty", "side")) -> DataFrame:
+    """Rows of batches that hold a tick's fields in an array each; arrays of different lengths fail before any row is given."""
+    same = F.lit(True)
+    for n in names[1:]:
+        same = same & (F.size(n) == F.size(names[0]))
+    rows = F.when(same, F.arrays_zip(*names)).otherwise(F.raise_error(F.lit("the arrays of a batch differ in length")))
+    others = [c for c in batches.columns if c not in names]
+    return batches.select(*others, F.posexplode(rows).alias("place", "x")).select(*others, "place", *[F.col("x").getField(n).alias(n) for n in names])
+
+
 def first_price(ticks: DataFrame, price: str = "price", order: str | Column = "seq") -> DataFrame:
     return ticks.agg(F.min_by(price, order).alias("first_price"))
 
