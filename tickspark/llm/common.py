@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickspark.sources.scratch import checkpoint_dir, remove, scratch
+
 #: Whitespace of the word rule ``[^\x20\x09-\x0D]+``, as a Java character class.
 SPACE = r"[\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -41,22 +40,27 @@ def with_text(rows: DataFrame, columns: list[str], text: Column, changed: Column
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests on one machine)."""
-    sc = spark.sparkContext
-    have = sc._jsc.sc().getCheckpointDir()
-    if have.isDefined():
-        return have.get()
-    own = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint")
-    sc.setCheckpointDir(own)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: lineage ends here and survives lost executors."""
+    """The folder named by spark.checkpoint.dir."""
+    return checkpoint_dir(spark)
+
+
+def settled(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it again: lineage ends here and survives lost executors.
+
+    small: rows are gathered into files of the advisory size first, for tables of few bytes from many tasks.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch(spark, name)
+    (df.hint("rebalance") if small else df).write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_settled_at"] = path
+    return out
+
+
+def forget(df: DataFrame | None) -> None:
+    """Deletes a settled table that nothing reads any more."""
+    if df is not None and "_settled_at" in df.__dict__:
+        remove(df.sparkSession, df.__dict__["_settled_at"])
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import forget, settled
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
     ordered = settled(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     while True:
-        ordered = settled(_small(_large(ordered)), "stars")
+        before, ordered = ordered, settled(_small(_large(ordered)), "stars")
+        forget(before)
         now = ordered.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == seen or now[0] == 0:
             return ordered.select(F.col("u").alias("node"), F.col("v").alias("root"))
