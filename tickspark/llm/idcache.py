@@ -1,4 +1,4 @@
-"""Ids of texts from the ids of their words, kept by each Python worker."""
+"""Ids of texts from the ids of their words, kept by each Python worker within a bound of bytes."""
 
 from __future__ import annotations
 
@@ -6,65 +6,59 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-#: Words kept by a worker before it starts anew; longer keys are not kept beyond the texts that have them.
-WORDS, KEY_LENGTH = 1_600_000, 48
-
-
-class _Numbered(dict):
-    """Numbers keys as they are asked for."""
-
-    def __init__(self) -> None:
-        self.new: list = []
-
-    def __missing__(self, key) -> int:
-        number = self[key] = len(self)
-        self.new.append(key)
-        return number
+#: Bytes that the words of a worker may take, about; longer keys are not kept at all.
+BYTES, KEY_LENGTH = 64 << 20, 48
+#: Bytes that an entry takes besides its ids: key, value and place in a table.
+ENTRY = 200
+#: Words encoded together.
+TOGETHER = 8192
 
 
 class IdCache:
-    """encode_many gives the ids of each of a list of words, as the bytes of unsigned 32-bit numbers."""
+    """encode_many gives the ids of each of a list of words, as the bytes of unsigned 32-bit numbers.
 
-    def __init__(self, encode_many: Callable[[list], Sequence[bytes]]):
-        self.encode_many = encode_many
-        self.reset()
+    Words are kept in two generations of half the bytes each. When the new one is full it becomes the old one and the old
+    one goes; a word that is found in the old one moves to the new, so frequent words stay, whatever the others.
+    """
 
-    def reset(self) -> None:
-        self.number = _Numbered()
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.used = self.words = 0
-        self.start, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+    def __init__(self, encode_many: Callable[[list], Sequence[bytes]], limit: int = BYTES):
+        self.encode_many, self.half = encode_many, limit // 2
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
 
-    def _add(self, ids: Sequence[bytes]) -> None:
-        count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        n, at, end = int(count.sum()), self.words, self.words + len(ids)
-        while self.used + n > len(self.flat):
-            self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
-        while end > len(self.start):
-            self.start, self.count = np.r_[self.start, np.zeros_like(self.start)], np.r_[self.count, np.zeros_like(self.count)]
-        self.flat[self.used : self.used + n] = np.frombuffer(b"".join(ids), np.uint32)
-        self.start[at:end] = self.used + np.cumsum(count) - count
-        self.count[at:end] = count
-        self.used, self.words = self.used + n, end
+    def _keep(self, word: str, ids: bytes) -> None:
+        if len(word) > KEY_LENGTH:
+            return
+        self.new[word] = ids
+        self.size += ENTRY + len(ids)
+        if self.size > self.half:
+            self.old, self.new, self.size = self.new, {}, 0
 
-    def ids(self, words: list, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of these words, or of those at the places given, one after the other, and how many each has."""
-        if self.words > WORDS:
-            self.reset()
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        new, self.number.new = self.number.new, []
-        for k in range(0, len(new), 8192):
-            self._add(self.encode_many(new[k : k + 8192]))
-        at = at if places is None else at[places]
-        n, first = self.count[at], self.start[at]
-        ends = np.cumsum(n)
-        out = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)]
-        if any(len(w) > KEY_LENGTH for w in new):
-            self.reset()
-        return out, n
+    def get(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these different words."""
+        out = list(map(self.new.get, words))
+        missing, old = [], self.old
+        for i, ids in enumerate(out):
+            if ids is None:
+                ids = old.get(words[i])
+                if ids is None:
+                    missing.append(i)
+                else:
+                    out[i] = ids
+                    self._keep(words[i], ids)
+        for k in range(0, len(missing), TOGETHER):
+            part = missing[k : k + TOGETHER]
+            for i, ids in zip(part, self.encode_many([words[i] for i in part]), strict=True):
+                out[i] = ids
+                self._keep(words[i], ids)
+        return out
 
-    def texts(self, split: list[list]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of texts, each given as its words, one after the other, and where each text ends."""
-        out, n = self.ids([w for words in split for w in words])
-        ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
-        return out, np.r_[0, np.cumsum(n)][ends]
+    def ids(self, words: list[str], places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at these places, one after the other, and how many each has. words: all different."""
+        found = self.get(words)
+        count = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.uint32)
+        first, n = (np.cumsum(count) - count)[places], count[places]
+        ends = np.cumsum(n)
+        return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)], n

@@ -7,9 +7,9 @@ knapsack dynamic program prices new patterns by the program's dual values until
 rounded down, its patterns are assigned to the documents ranked by length, and what is left goes by best fit into what
 room there is.
 
-Pieces are dealt by a hash of the piece into shards of about ``SHARD`` pieces, each with a program of its own, so memory
-and time of a task are bounded and no length, source or document id can make one task large. The price is at most a
-few sequences a shard that are not full.
+Pieces are dealt by their place in the stored table into shards of about ``SHARD`` pieces, each with a program of its own, so
+memory and time of a task are bounded and no length, source, document id or repeated row can make one task large. The price
+is at most a few sequences a shard that are not full.
 
 Nulls: a null or empty text is the end id alone. A null doc_id is kept as it is. Repeated rows are packed once each. An
 empty table gives an empty result. Columns other than doc_id and text are ignored.
@@ -43,14 +43,12 @@ SHARD = 1 << 16
 UNIT = 8
 #: Pieces of at most so many tokens are left out of the program; they fill the room that is left.
 FILLER = 64
-#: Word stems that a worker keeps.
-STEMS = 1_300_000
 #: Letters below this code point have one composed form and one lower case of one letter.
 LATIN = "\u0180"
-#: Texts that are encoded together.
-TOGETHER = 512
-#: Column generation ends when the bound shows it within this share of the optimum.
-GAP = 1e-3
+#: Texts and bytes of texts that are encoded together; a longer text is encoded alone.
+TOGETHER, BYTES = 512, 2 << 20
+#: Column generation ends when the bound shows it within this share of the optimum; the basis is inverted anew every so many pivots.
+GAP, REFACTOR = 1e-3, 100
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -75,8 +73,8 @@ class Encoder:
         self.ends_word = np.zeros(tokenizer.get_vocab_size(), bool)
         for token, i in tokenizer.get_vocab().items():
             self.ends_word[i] = token.endswith("</w>")
-        self.stems: dict[str, bytes] = {"": b""}
         self.cache = IdCache(self._words)
+        self.tails = {"": b"", **{t: self._each([t])[0] for t in ".,"}}
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.encode_batch(words, add_special_tokens=False)]
@@ -92,7 +90,7 @@ class Encoder:
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words. ASCII words are lower-cased, as the tokenizer does, and a full stop or comma after a letter or
-        digit, which it always parts from the word, is looked up on its own, so fewer words have to be encoded."""
+        digit, which it always parts from the word, is put behind its ids, so fewer words have to be encoded."""
         stems, tails = [], []
         for w in words:
             if w.isascii() and "<" not in w:
@@ -103,17 +101,16 @@ class Encoder:
             else:
                 stems.append(w)
                 tails.append("")
-        if len(self.stems) > STEMS:
-            self.stems = {"": b""}
-        known = self.stems
-        new = {w for w in stems if w not in known} | {t for t in (".", ",") if t not in known}
+        new = set(stems)
+        new.discard("")
+        known = {"": b""}
         plain = [w for w in new if w.isalpha() and w == w.lower() and max(w) < LATIN]
         if plain:
             known.update(zip(plain, self._plain(plain), strict=True))
         if len(plain) < len(new):
             odd = list(new.difference(plain))
             known.update(zip(odd, self._each(odd), strict=True))
-        return [known[w] + known[t] for w, t in zip(stems, tails, strict=True)]
+        return [known[w] + self.tails[t] for w, t in zip(stems, tails, strict=True)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts one after the other, without end ids, and where each text ends. Each different word is looked up once."""
@@ -130,6 +127,16 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def slices(texts: pa.Array, rows: int = TOGETHER, most: int = BYTES) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of texts of at most so many rows and, but for a single longer text, bytes."""
+    size = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(texts):
+        past = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+        yield at, (at := min(len(texts), at + rows, max(past, at + 1)))
+
+
 def cuts(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     """(start, end) of the pieces of a document of n tokens."""
     full = n - n % length
@@ -144,8 +151,8 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
         encoder = _encoder(tokenizer)
         for b in batches:
             doc, start, size, crc, total = [], [], [], [], []
-            for at in range(0, b.num_rows, TOGETHER):
-                flat, ends = encoder.encode(b.column(1).slice(at, TOGETHER))
+            for at, past in slices(b.column(1)):
+                flat, ends = encoder.encode(b.column(1).slice(at, past - at))
                 for k, (lo, hi) in enumerate(zip([0, *ends.tolist()], ends.tolist(), strict=False)):
                     ids = np.append(flat[lo:hi], np.uint32(END)).astype("<u4")
                     raw = memoryview(ids.view(np.uint8))
@@ -161,7 +168,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
 
-def solve(width: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP, most: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+def solve(width: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
     """The cutting-stock program by column generation: (uses, patterns), a pattern being a row of counts by class.
 
     width: ascending integers up to the capacity; demand: how many items each class has.
@@ -172,7 +179,11 @@ def solve(width: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP
     inverse = np.diag(1 / np.diag(base))
     uses = demand / np.diag(base)
     reach = np.searchsorted(width, np.arange(capacity + 1), side="right")
-    for _ in range(most):
+    best_bound, last_value, stalled = 0.0, math.inf, 0
+    for pivot in itertools.count(1):
+        if pivot % REFACTOR == 0:  # rounding errors of the updates do not add up
+            inverse = np.linalg.inv(columns)
+            uses = np.maximum(inverse @ demand, 0)
         dual = inverse.sum(axis=0)
         best, item = np.zeros(capacity + 1), np.full(capacity + 1, -1)
         for c in range(1, capacity + 1):
@@ -182,7 +193,12 @@ def solve(width: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP
                 k = int(v.argmax())
                 if v[k] > best[c] + 1e-12:
                     best[c], item[c] = v[k], k
-        if best[capacity] <= 1 + gap:
+        # No solution needs fewer than the dual value over the best price of a pattern: near it, the program is solved. A run of
+        # pivots without progress, which degenerate programs may have, ends it too; the rounding after takes any solution.
+        value, bound = float(uses.sum()), float(dual @ demand) / best[capacity]
+        stalled = 0 if bound > best_bound * (1 + 1e-9) or value < last_value * (1 - 1e-9) else stalled + 1
+        best_bound, last_value = max(best_bound, bound), min(value, last_value)
+        if best[capacity] <= 1 + 1e-9 or value <= best_bound * (1 + gap) or stalled > 4 * m + 100:
             break
         new, c = np.zeros(m), capacity
         while c > 0:
@@ -255,7 +271,7 @@ def _pack_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, shard: int = SHARD) -> DataFrame:
     """One row for each piece: where it starts in its document, its length and checksum, its sequence and offset there."""
-    cut = settled(pieces(docs, tokenizer or tokenizer_path()), "pieces")
+    cut = settled(pieces(docs, tokenizer or tokenizer_path()).withColumn("place", F.monotonically_increasing_id()), "pieces")
     shards = max(1, math.ceil(cut.count() / shard))
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32"), F.lit(shards)))
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards))).drop("place")
     return dealt.groupBy("shard").applyInPandas(_pack_shard, RESULT)
