@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes that the words of a worker may take, about; longer keys are not kept at all.
 BYTES, KEY_LENGTH = 64 << 20, 48
@@ -12,6 +14,18 @@ BYTES, KEY_LENGTH = 64 << 20, 48
 ENTRY = 200
 #: Words encoded together.
 TOGETHER = 8192
+#: Texts, and bytes of texts, that are encoded together; a longer text is encoded alone.
+ROWS, ROW_BYTES = 512, 2 << 20
+
+
+def slices(texts: pa.Array, rows: int = ROWS, most: int = ROW_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of texts of at most so many rows and, but for a single longer text, bytes."""
+    size = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(texts):
+        past = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+        yield at, (at := min(len(texts), at + rows, max(past, at + 1)))
 
 
 class IdCache:
@@ -27,31 +41,27 @@ class IdCache:
         self.old: dict[str, bytes] = {}
         self.size = 0
 
-    def _keep(self, word: str, ids: bytes) -> None:
-        if len(word) > KEY_LENGTH:
-            return
-        self.new[word] = ids
-        self.size += ENTRY + len(ids)
+    def _keep(self, words: list[str], ids: Sequence[bytes]) -> None:
+        short = {w: x for w, x in zip(words, ids, strict=True) if len(w) <= KEY_LENGTH}
+        self.new.update(short)
+        self.size += ENTRY * len(short) + sum(map(len, short.values()))
         if self.size > self.half:
             self.old, self.new, self.size = self.new, {}, 0
 
     def get(self, words: list[str]) -> list[bytes]:
         """The ids of each of these different words."""
         out = list(map(self.new.get, words))
-        missing, old = [], self.old
-        for i, ids in enumerate(out):
-            if ids is None:
-                ids = old.get(words[i])
-                if ids is None:
-                    missing.append(i)
-                else:
-                    out[i] = ids
-                    self._keep(words[i], ids)
-        for k in range(0, len(missing), TOGETHER):
-            part = missing[k : k + TOGETHER]
-            for i, ids in zip(part, self.encode_many([words[i] for i in part]), strict=True):
-                out[i] = ids
-                self._keep(words[i], ids)
+        gaps = [i for i, x in enumerate(out) if x is None]
+        for k in range(0, len(gaps), TOGETHER):
+            part = gaps[k : k + TOGETHER]
+            names = [words[i] for i in part]
+            again = list(map(self.old.get, names))
+            missing = [i for i, x in enumerate(again) if x is None]
+            for i, x in zip(missing, self.encode_many([names[i] for i in missing]) if missing else (), strict=True):
+                again[i] = x
+            for i, x in zip(part, again, strict=True):
+                out[i] = x
+            self._keep(names, again)
         return out
 
     def ids(self, words: list[str], places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

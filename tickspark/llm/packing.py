@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled
-from .idcache import IdCache
+from .idcache import IdCache, slices
 
 LENGTH = 4096
 END = 2
@@ -45,8 +45,6 @@ UNIT = 8
 FILLER = 64
 #: Letters below this code point have one composed form and one lower case of one letter.
 LATIN = "\u0180"
-#: Texts and bytes of texts that are encoded together; a longer text is encoded alone.
-TOGETHER, BYTES = 512, 2 << 20
 #: Column generation ends when the bound shows it within this share of the optimum; the basis is inverted anew every so many pivots.
 GAP, REFACTOR = 1e-3, 100
 
@@ -127,16 +125,6 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(texts: pa.Array, rows: int = TOGETHER, most: int = BYTES) -> Iterator[tuple[int, int]]:
-    """(start, end) of runs of texts of at most so many rows and, but for a single longer text, bytes."""
-    size = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
-    ends = np.cumsum(size)
-    at = 0
-    while at < len(texts):
-        past = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
-        yield at, (at := min(len(texts), at + rows, max(past, at + 1)))
-
-
 def cuts(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     """(start, end) of the pieces of a document of n tokens."""
     full = n - n % length

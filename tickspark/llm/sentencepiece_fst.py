@@ -1,17 +1,22 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model is compiled to the composition of three machines: the normaliser (spaces become a mark, with one in front), the
-pieces, and the byte fallback of characters that no piece spells. Composed with an input it is an acyclic lattice of
-positions; the encoding is its shortest path in the tropical semiring (min, +).
+The model is compiled to three machines. The normaliser maps a space to the mark and every other character to itself, with a
+mark in front of the text. The pieces are a trie of states and arcs over characters, whose final states give a piece. The
+byte fallback is an arc for any single character that no piece spells; its output are the characters' bytes. Composed with
+an input they are an acyclic lattice: an arc from position i to j for each piece that the input spells there. The encoding is
+the shortest path through the lattice in the tropical semiring: distances are relaxed from left to right, all arcs into a
+position, by min and +.
 
 A unigram model's arcs weigh the negative score of their piece. A BPE model does not minimise a sum of scores: its result
 is the one segmentation in which every two neighbours stay apart when merged on their own. That is a property of
 neighbours, so it is a weight too: an arc weighs 0 after a piece that it stays apart from, and infinity after any other.
-Exactly one path is then finite, and the shortest path is the encoding of the model. Whether two pieces stay apart is
-found once for each pair by the merge rules and kept.
+One path into each position is then finite. Whether two pieces stay apart is found by the merge rules and kept in a table of
+fixed size, in which a pair may drive out another.
 
-No piece continues over the mark that starts a word, so inputs are composed word by word and the ids of words are kept by
-each worker. Models with a character map, user-defined pieces or pieces across words raise ValueError.
+No piece continues over the mark that starts a word, so inputs are composed word by word, and the ids of words are kept by
+each worker (``IdCache``). Words are composed and relaxed together, position by position, as arrays; a word of over ``LONG``
+characters goes through the same steps alone. Models with a character map, user-defined pieces or pieces across words raise
+ValueError.
 
 Nulls: a null or empty text has no ids and decodes to an empty text. Repeated rows are encoded one by one. An empty table
 gives an empty result. Columns other than doc_id and text are ignored.
@@ -31,12 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .idcache import IdCache
+from .idcache import IdCache, slices
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Texts that are encoded together.
-TOGETHER = 128
+#: Characters of a word that is relaxed alone; cells (words times positions) that are relaxed together.
+LONG, CELLS = 64, 1 << 17
+#: Places of the table of pairs of pieces.
+PAIRS = 1 << 21
+#: Numbers of pieces end here; a larger number is that of a lone character, by its code point.
+POINTS = 1 << 20
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -95,18 +104,43 @@ class Transducer:
         low = min((self.score[i] for i in self.id.values()), default=0.0)
         self.unknown_weight = 10.0 - low
         self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kind, strict=True)]
-        self.apart: dict[str, dict[str, bool]] = {}
-        # For the last two characters of a piece, the lengths of the pieces that end in them, longest first.
-        tails: dict[str, set[int]] = {}
-        for p in self.id:
-            if len(p) > 1:
-                tails.setdefault(p[-2:], set()).add(len(p))
-        self.lengths = {t: sorted(n, reverse=True) for t, n in tails.items()}
+        self._compile()
+        self.pair_key, self.pair_apart = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
         self.cache = IdCache(self.shortest_of)
 
+    def _compile(self) -> None:
+        """The trie of the pieces: arcs as sorted (state, character) keys with their next states, and the piece of final states."""
+        arcs: dict[tuple[int, str], int] = {}
+        final = [-1]
+        for piece, number in self.id.items():
+            state = 0
+            for x in piece:
+                after = arcs.get((state, x))
+                if after is None:
+                    after = arcs[state, x] = len(final)
+                    final.append(-1)
+                state = after
+            final[state] = number
+        keys = np.array([s << 21 | ord(x) for s, x in arcs], np.int64)
+        order = np.argsort(keys)
+        self.arc_key, self.arc_to = np.r_[keys[order], 2**62], np.r_[np.array(list(arcs.values()), np.int64)[order], 0]
+        self.final = np.array(final, np.int64)
+        self.length = np.array([len(p) for p in self.pieces], np.int64)
+        # The first arc of every walk: by character, without a search.
+        self.first = np.zeros(0x110000, np.int64)
+        for (state, x), after in arcs.items():
+            if state == 0:
+                self.first[ord(x)] = after
+        # What an arc weighs by its piece alone; lone characters that are no piece have the weight of the unknown piece.
+        self.weight = np.array([-x for x in self.score]) if self.type == UNIGRAM else np.zeros(len(self.score))
+        self.lone = self.unknown_weight if self.type == UNIGRAM else 0.0
+        self.normal = ((" ", MARK),)
+
     def stay_apart(self, left: str, right: str) -> bool:
         """Whether the merge rules leave these two neighbours as they are: best score first, then leftmost."""
         s = list(left + right)
+        if left + right in self.id:
+            return False  # they would be merged
         while True:
             best = None
             for i in range(len(s) - 1):
@@ -118,95 +152,173 @@ class Transducer:
             i = best[1]
             s[i : i + 2] = [s[i] + s[i + 1]]
 
-    def arcs(self, unit: str, end: int) -> Iterator[tuple[int, str]]:
-        """(start, piece) of the arcs into a position, the longest first; a lone character can always be spelt."""
-        for n in self.lengths.get(unit[end - 2 : end], ()) if end > 1 else ():
-            if n <= end and unit[end - n : end] in self.id:
-                yield end - n, unit[end - n : end]
-        yield end - 1, unit[end - 1]
-
-    def _bpe_path(self, unit: str, last: list[str]) -> list[str]:
-        """The last piece of the shortest path to each position: the one arc into it that weighs 0.
-
-        last: the same for the first positions, which depend on the characters before them only.
-        """
-        ids, lengths, apart = self.id, self.lengths, self.apart
-        for end in range(len(last), len(unit) + 1):
-            for n in lengths.get(unit[end - 2 : end], ()) if end > 1 else ():
-                piece = unit[end - n : end]
-                if n > end or piece not in ids:
-                    continue
-                left = last[end - n]
-                if not left:
-                    break
-                row = apart.get(left)
-                if row is None:
-                    row = apart[left] = {}
-                free = row.get(piece)
-                if free is None:
-                    free = row[piece] = self.stay_apart(left, piece)
-                if free:
+    def _text(self, number: int) -> str:
+        return chr(number - POINTS) if number >= POINTS else self.pieces[number]
+
+    def _parted(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """For each pair of pieces, whether the merge rules leave it; anything may follow the start (-1)."""
+        key = (left + 1) << 22 | right
+        place = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 21)).astype(np.int64)
+        out = self.pair_apart[place]
+        miss = np.flatnonzero((self.pair_key[place] != key) & (left >= 0))
+        if len(miss):
+            new, at = np.unique(key[miss], return_inverse=True)
+            apart = np.fromiter((self.stay_apart(self._text((k >> 22) - 1), self._text(k & 0x3FFFFF)) for k in new.tolist()), bool, len(new))
+            out[miss] = apart[at]
+            first = place[miss]
+            self.pair_apart[first], self.pair_key[first] = out[miss], -1
+            # Pairs of one place: the last one written counts, for the key and then for its value.
+            self.pair_key[first] = key[miss]
+            self.pair_apart[first] = apart[np.searchsorted(new, self.pair_key[first])]
+        out[left < 0] = True
+        return out
+
+    def _relax(self, points: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """words x positions: the last piece of the shortest path to each position. Words come longest first; size is their lengths."""
+        n, most = points.shape
+        far = np.full((n, most + 1), np.inf)
+        far[:, 0] = 0
+        last = np.full((n, most + 1), -1, np.int64)
+        into: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(most + 1)]
+        live = np.searchsorted(-size, -np.arange(most + 1), side="left")  # words longer than a position
+        for i in range(most + 1):
+            for start, who, piece in into[i]:
+                left = last[who, start]
+                lone = piece >= POINTS
+                weight = far[who, start] + np.where(lone, self.lone, self.weight[np.where(lone, 0, piece)])
+                if self.type == BPE:
+                    weight = np.where(self._parted(left, piece), weight, np.inf)
+                near = weight < far[who, i]
+                far[who[near], i], last[who[near], i] = weight[near], piece[near]
+            into[i] = []
+            if i == most or not live[i]:
+                continue
+            who = np.arange(live[i])
+            state = self.first[points[who, i]]
+            single = self.final[state]
+            spelt = (state > 0) & (single >= 0)
+            into[i + 1].append((i, who, np.where(spelt, single, POINTS + points[who, i].astype(np.int64))))
+            for j in range(i + 1, most):
+                go = (state > 0) & (who < live[j])
+                who, state = who[go], state[go]
+                if not len(who):
                     break
-            else:
-                # Of all arcs into a position one is finite; if none of the longer ones is, it is the lone character.
-                piece = unit[end - 1]
-            last.append(piece)
+                key = state << 21 | points[who, j].astype(np.int64)
+                at = np.searchsorted(self.arc_key, key)
+                state = np.where(self.arc_key[at] == key, self.arc_to[at], 0)
+                piece = self.final[state]
+                hit = (state > 0) & (piece >= 0)
+                if hit.any():
+                    # Longer arcs into a position come first, so that of equal paths the one with the longer last piece stays.
+                    into[j + 1].append((i, who[hit], piece[hit]))
         return last
 
-    def _unigram_path(self, unit: str, last: list[str]) -> list[str]:
-        """The last piece of the shortest path to each position, an arc weighing the negative score of its piece."""
-        far, last = [0.0], [""]
-        for end in range(1, len(unit) + 1):
-            best = math.inf, ""
-            for start, piece in self.arcs(unit, end):
-                k = self.id.get(piece)
-                weight = far[start] + (self.unknown_weight if k is None else -self.score[k])
-                if weight < best[0]:
-                    best = weight, piece
-            far.append(best[0])
-            last.append(best[1])
+    def _relax_long(self, unit: str) -> list[int]:
+        """The same for one long word, arc by arc: the last piece of the shortest path to each position."""
+        far, last = [0.0] + [math.inf] * len(unit), [-1] * (len(unit) + 1)
+        apart: dict[tuple[int, int], bool] = {}
+        keys, to, final = self.arc_key, self.arc_to, self.final
+        step: dict[int, int] = {}
+        for i in range(len(unit)):
+            state, j, left = 0, i, last[i]
+            while j < len(unit):
+                key = state << 21 | ord(unit[j])
+                state = step.get(key, -1)
+                if state < 0:
+                    at = int(np.searchsorted(keys, key))
+                    state = step[key] = int(to[at]) if keys[at] == key else 0
+                j += 1
+                piece = int(final[state]) if state else -1
+                if piece < 0 and j == i + 1:
+                    piece = POINTS + ord(unit[i])
+                if piece >= 0:
+                    weight = far[i] + (self.lone if piece >= POINTS else float(self.weight[piece]))
+                    if self.type == BPE and left >= 0:
+                        free = apart.get((left, piece))
+                        if free is None:
+                            if len(apart) > PAIRS:
+                                apart.clear()
+                            free = apart[left, piece] = self.stay_apart(self._text(left), self._text(piece))
+                        weight = weight if free else math.inf
+                    if weight < far[j]:
+                        far[j], last[j] = weight, piece
+                if not state:
+                    break
         return last
 
     def shortest_of(self, units: list[str]) -> list[bytes]:
-        """Ids along the shortest paths through the lattices of words; words in order share the paths of their beginnings."""
-        search = self._bpe_path if self.type == BPE else self._unigram_path
-        found: dict[str, bytes] = {}
-        before, last = "", [""]
-        for unit in sorted(units):
-            k = 0
-            for x, y in zip(before, unit, strict=False):
-                if x != y:
-                    break
-                k += 1
-            before, last = unit, search(unit, last[: k + 1])
-            found[unit] = array("I", self._ids(unit, last)).tobytes()
-        return [found[u] for u in units]
+        """Ids along the shortest paths through the lattices of words."""
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        out: list[bytes] = [b""] * len(units)
+        for k in np.flatnonzero(size > LONG).tolist():
+            last, path, end = self._relax_long(units[k]), [], len(units[k])
+            while end:
+                path.append(last[end])
+                end -= len(self._text(last[end]))
+            out[k] = array("I", self._spelt(path[::-1])).tobytes()
+        order = np.flatnonzero(size <= LONG)
+        order = order[np.argsort(-size[order], kind="stable")]
+        at = 0
+        while at < len(order):
+            most = max(1, int(size[order[at]]))
+            part = order[at : at + max(1, CELLS // most)]
+            at += len(part)
+            points = np.zeros((len(part), most), np.uint32)
+            inside = np.arange(most)[None, :] < size[part][:, None]
+            points[inside] = np.frombuffer("".join([units[k] for k in part.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            last = self._relax(points, size[part])
+            # Back along the paths; words are done when they are at their start.
+            who, end, paths = np.arange(len(part)), size[part].copy(), []
+            while len(who):
+                who = who[end[who] > 0]
+                piece = last[who, end[who]]
+                paths.append((who, piece))
+                end[who] -= np.where(piece >= POINTS, 1, self.length[np.where(piece >= POINTS, 0, piece)])
+            word = np.concatenate([w for w, _ in paths][::-1])
+            piece = np.concatenate([p for _, p in paths][::-1])
+            o = np.argsort(word, kind="stable")
+            word, piece = word[o], piece[o]
+            ends = np.searchsorted(word, np.arange(len(part)), side="right")
+            raw = piece.astype("<u4").tobytes()
+            odd = np.zeros(len(part), bool)
+            odd[word[piece >= POINTS]] = True
+            for k, lo, hi, strange in zip(part.tolist(), np.r_[0, ends[:-1]].tolist(), ends.tolist(), odd.tolist(), strict=True):
+                out[k] = array("I", self._spelt(piece[lo:hi].tolist())).tobytes() if strange else raw[4 * lo : 4 * hi]
+        return out
 
     def shortest(self, unit: str) -> list[int]:
         return array("I", self.shortest_of([unit])[0]).tolist()
 
-    def _ids(self, unit: str, last: list[str]) -> list[int]:
-        path, end = [], len(unit)
-        while end:
-            path.append(last[end])
-            end -= len(last[end])
+    def _spelt(self, path: list[int]) -> list[int]:
+        """The output of a path: pieces as they are, lone characters by their bytes, or else the unknown piece once in a row."""
         out: list[int] = []
-        for piece in reversed(path):
-            k = self.id.get(piece)
-            if k is not None:
-                out.append(k)
+        for piece in path:
+            if piece < POINTS:
+                out.append(piece)
             elif self.byte:
-                out += [self.byte[b] for b in piece.encode()]
+                out += [self.byte[b] for b in chr(piece - POINTS).encode("utf-8", "surrogatepass")]
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
         return out
 
+    def normalise(self, text: str) -> str:
+        for x, y in self.normal:
+            text = text.replace(x, y)
+        return text
+
     def units(self, text: str | None) -> list[str]:
         """The words of a text with the marks in front of them."""
-        return WORD.findall((MARK if self.prefix else "") + text.replace(" ", MARK)) if text else []
+        return WORD.findall((MARK if self.prefix else "") + self.normalise(text)) if text else []
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after the other, and where each text ends. Each different word is looked up once."""
+        split = [self.units(t) for t in texts]
+        words = pa.array([w for part in split for w in part], pa.string()).dictionary_encode()
+        flat, n = self.cache.ids(words.dictionary.to_pylist(), words.indices.to_numpy())
+        return flat, np.r_[0, np.cumsum(n)][np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]
 
     def encode(self, text: str | None) -> np.ndarray:
-        return self.cache.ids(self.units(text))[0]
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         out = b"".join(map(self.bytes.__getitem__, ids))
@@ -237,10 +349,10 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         fst = _compiled(shared.value)
         is_byte = np.array([k == BYTE for k in fst.kind])
         for b in batches:
-            for s in range(0, b.num_rows, TOGETHER):
-                part = b.slice(s, TOGETHER)
+            for s, e in slices(b.column(1)):
+                part = b.slice(s, e - s)
                 texts = part.column(1).to_pylist()
-                flat, ends = fst.cache.texts([fst.units(t) for t in texts])
+                flat, ends = fst.encode_all(texts)
                 offsets = np.r_[0, ends]
                 spans = list(zip(offsets.tolist(), ends.tolist(), strict=False))
                 bytes_before = np.r_[0, np.cumsum(is_byte[flat])]
