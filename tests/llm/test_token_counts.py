@@ -45,14 +45,14 @@ def test_real_tokenizers_over_all_documents(spark, sf):
         for version, n in (("word_bpe_49k", len(words.encode(t, add_special_tokens=False).ids)), ("piece_bpe_32k", len(pieces.encode(t)))):
             docs, tokens = want.get((d["source"], d["lang"], version), (0, 0))
             want[d["source"], d["lang"], version] = docs + 1, tokens + n
-    got = queries.QUERIES["op8_tokenizer_counts"](spark, sf)
+    got = queries.QUERIES["op8_token_counts"](spark, sf)
     assert {tuple(r)[:3]: tuple(r)[3:] for r in got.collect()} == want
 
 
 def test_a_marker_is_created_once(spark, tmp_path):
     r = t.Rollup(spark, str(tmp_path / "m"))
     assert r._marker("batch-x", {"table": "1"}) and not r._marker("batch-x", {"table": "2"})
-    assert r._markers() == {"batch-x": {"table": "1"}}
+    assert r._names() == ["batch-x"] and r._read("batch-x") == {"table": "1"}
 
 
 def test_unknown_change_is_refused(spark, tmp_path):

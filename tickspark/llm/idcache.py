@@ -72,3 +72,7 @@ class IdCache:
         first, n = (np.cumsum(count) - count)[places], count[places]
         ends = np.cumsum(n)
         return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)], n
+
+    def counts(self, words: list[str], places: np.ndarray) -> np.ndarray:
+        """How many ids the words at these places have."""
+        return np.fromiter(map(len, self.get(words)), np.int64, len(words))[places] // 4

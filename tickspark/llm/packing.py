@@ -45,8 +45,10 @@ UNIT = 8
 FILLER = 64
 #: Letters below this code point have one composed form and one lower case of one letter.
 LATIN = "\u0180"
-#: Column generation ends when the bound shows it within this share of the optimum; the basis is inverted anew every so many pivots.
-GAP, REFACTOR = 1e-3, 100
+#: Column generation ends when the bound shows it within this share of the optimum.
+GAP = 1e-3
+#: Pivots for each class that may pass without the gap becoming a tenth smaller.
+PATIENCE = 2
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -112,11 +114,22 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts one after the other, without end ids, and where each text ends. Each different word is looked up once."""
-        split = pc.ascii_split_whitespace(texts.fill_null(""))
-        words = split.flatten().dictionary_encode()
+        words, ends = self._split(texts)
         flat, n = self.cache.ids(words.dictionary.to_pylist(), words.indices.to_numpy())
+        return flat, np.r_[0, np.cumsum(n)][ends]
+
+    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many words, and how many ids without an end id, each text has."""
+        words, ends = self._split(texts)
+        n = self.cache.counts(words.dictionary.to_pylist(), words.indices.to_numpy())
+        return np.diff(np.r_[0, ends]), np.diff(np.r_[0, np.cumsum(n)][np.r_[0, ends]])
+
+    @staticmethod
+    def _split(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The words of all texts, and how many there are up to the end of each text."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
         offsets = split.offsets.to_numpy()
-        return flat, np.r_[0, np.cumsum(n)][offsets[1:] - offsets[0]]
+        return split.flatten().dictionary_encode(), offsets[1:] - offsets[0]
 
 
 @lru_cache(1)
@@ -167,12 +180,12 @@ def solve(width: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP
     inverse = np.diag(1 / np.diag(base))
     uses = demand / np.diag(base)
     reach = np.searchsorted(width, np.arange(capacity + 1), side="right")
-    best_bound, last_value, stalled = 0.0, math.inf, 0
-    for pivot in itertools.count(1):
-        if pivot % REFACTOR == 0:  # rounding errors of the updates do not add up
-            inverse = np.linalg.inv(columns)
-            uses = np.maximum(inverse @ demand, 0)
+    bound, least, since = 0.0, math.inf, 0
+    while True:
+        # Each solution is refined by its residual in the basis itself, so the rounding errors of the inverse's updates do not add up.
+        uses = np.maximum(uses + inverse @ (demand - columns @ uses), 0)
         dual = inverse.sum(axis=0)
+        dual += (1 - dual @ columns) @ inverse
         best, item = np.zeros(capacity + 1), np.full(capacity + 1, -1)
         for c in range(1, capacity + 1):
             best[c], item[c] = best[c - 1], -1
@@ -181,12 +194,14 @@ def solve(width: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP
                 k = int(v.argmax())
                 if v[k] > best[c] + 1e-12:
                     best[c], item[c] = v[k], k
-        # No solution needs fewer than the dual value over the best price of a pattern: near it, the program is solved. A run of
-        # pivots without progress, which degenerate programs may have, ends it too; the rounding after takes any solution.
-        value, bound = float(uses.sum()), float(dual @ demand) / best[capacity]
-        stalled = 0 if bound > best_bound * (1 + 1e-9) or value < last_value * (1 - 1e-9) else stalled + 1
-        best_bound, last_value = max(best_bound, bound), min(value, last_value)
-        if best[capacity] <= 1 + 1e-9 or value <= best_bound * (1 + gap) or stalled > 4 * m + 100:
+        # No solution needs fewer than the dual value over the best price of a pattern: near it, the program is solved. If so many
+        # pivots no longer narrow the gap, as in degenerate programs, the solution in hand is taken; all pieces are packed either way.
+        value = float(uses.sum())
+        bound = max(bound, float(dual @ demand) / best[capacity])
+        since += 1
+        if value / bound - 1 < 0.9 * least:
+            least, since = value / bound - 1, 0
+        if best[capacity] <= 1 + 1e-9 or least <= gap or since > PATIENCE * m:
             break
         new, c = np.zeros(m), capacity
         while c > 0:
@@ -196,6 +211,7 @@ def solve(width: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP
                 new[item[c]] += 1
                 c -= width[item[c]]
         move = inverse @ new
+        move += inverse @ (new - columns @ move)
         ratio = np.where(move > 1e-9, uses / np.where(move > 1e-9, move, 1), np.inf)
         out = int(ratio.argmin())
         step = ratio[out]

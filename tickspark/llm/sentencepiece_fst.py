@@ -312,10 +312,21 @@ class Transducer:
 
     def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts one after the other, and where each text ends. Each different word is looked up once."""
+        words, ends = self._split(texts)
+        flat, n = self.cache.ids(words.dictionary.to_pylist(), words.indices.to_numpy())
+        return flat, np.r_[0, np.cumsum(n)][ends]
+
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        """How many ids each text has."""
+        words, ends = self._split(texts)
+        n = self.cache.counts(words.dictionary.to_pylist(), words.indices.to_numpy())
+        return np.diff(np.r_[0, np.cumsum(n)][np.r_[0, ends]])
+
+    def _split(self, texts: list[str | None]) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The words of all texts, and how many there are up to the end of each text."""
         split = [self.units(t) for t in texts]
         words = pa.array([w for part in split for w in part], pa.string()).dictionary_encode()
-        flat, n = self.cache.ids(words.dictionary.to_pylist(), words.indices.to_numpy())
-        return flat, np.r_[0, np.cumsum(n)][np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]
+        return words, np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]

@@ -16,17 +16,17 @@ import json
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickspark.sources.scratch import scratch
+
 from . import packing, sentencepiece_fst
-from .common import settled, shared_dir, table, words
+from .common import settled, table
+from .idcache import slices
 
 KEYS = ("source", "lang", "version")
-#: Words that a worker keeps for each of the two tokenizers that it has at once.
-KEPT = 300_000
 SCHEMA = "source string, lang string, version string, n_docs bigint, n_tokens bigint"
 
 
@@ -70,18 +70,18 @@ class Rollup:
             done = False
         return done
 
-    def _markers(self) -> dict[str, dict]:
+    def _names(self) -> list[str]:
+        """Names of all markers, in order."""
         folder = self._path(f"{self.root}/commits")
-        if not self._fs.exists(folder):
-            return {}
-        out = {}
-        for s in self._fs.listStatus(folder):
-            name = s.getPath().getName()
-            if not name.endswith(".crc"):
-                stream = self._fs.open(s.getPath())
-                out[name] = json.loads(bytes(stream.readAllBytes()).decode())
-                stream.close()
-        return out
+        found = self._fs.listStatus(folder) if self._fs.exists(folder) else []
+        return sorted(n for n in (x.getPath().getName() for x in found) if not n.endswith(".crc"))
+
+    def _read(self, name: str) -> dict:
+        stream = self._fs.open(self._path(f"{self.root}/commits/{name}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
 
     def committed(self, batch: str) -> bool:
         return self._fs.exists(self._path(f"{self.root}/commits/batch-{batch}"))
@@ -94,16 +94,18 @@ class Rollup:
 
     def _write(self, name: str, rows: DataFrame, more: dict) -> bool:
         staged = f"{self.root}/staged/{name}-{uuid.uuid4().hex}"
-        rows.coalesce(1).write.parquet(staged)
+        rows.hint("rebalance").write.parquet(staged)
         return self._marker(name, {"table": staged} | more)
 
     def _state(self) -> tuple[list[str], list[str]]:
-        """Names of all committed batches, and the tables whose sum is the state."""
-        markers = self._markers()
-        whole = max((m for n, m in markers.items() if n.startswith("compact-")), key=lambda m: m["number"], default={"batches": [], "table": None})
-        batches = sorted(n for n in markers if n.startswith("batch-"))
+        """Names of all committed batches, and the tables whose sum is the state. Only the last compaction's marker and those
+        of the batches after it are read."""
+        names = self._names()
+        compact = [n for n in names if n.startswith("compact-")]
+        whole = self._read(compact[-1]) if compact else {"batches": [], "table": None}
+        batches = [n for n in names if n.startswith("batch-")]
         tables = [whole["table"]] if whole["table"] else []
-        return batches, tables + [markers[n]["table"] for n in batches if n not in set(whole["batches"])]
+        return batches, tables + [self._read(n)["table"] for n in batches if n not in set(whole["batches"])]
 
     def totals(self) -> DataFrame:
         _, tables = self._state()
@@ -116,35 +118,8 @@ class Rollup:
         batches, tables = self._state()
         if not tables:
             return False
-        number = sum(n.startswith("compact-") for n in self._markers())
-        return self._write(f"compact-{number:08d}", _summed(self.spark.read.schema(SCHEMA).parquet(*tables)), {"batches": batches, "number": number})
-
-
-def word_tokens(text: Column) -> Column:
-    """Tokenizer version words-1: runs of non-space characters."""
-    return F.size(words(text)).cast("long")
-
-
-def quarter_tokens(text: Column) -> Column:
-    """Tokenizer version quarters-2: one token for every four code points begun."""
-    return F.ceil(F.length(F.coalesce(text, F.lit(""))) / 4).cast("long")
-
-
-def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of ``documents`` after three batches: all inserted by words-1; those of under ten words deleted; those of
-    other languages than English counted anew by quarters-2. The second batch is sent twice, and the store compacted."""
-    docs = table(spark, sf_dir, "documents")
-    counted = settled(docs.select("source", "lang", word_tokens(F.col("text")).alias("w"), quarter_tokens(F.col("text")).alias("q")), "token-counts")
-    rollup = Rollup(spark, f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}")
-    old = counted.select(F.lit("words-1").alias("version"), F.col("w").alias("tokens"), *[F.lit(None).cast("string").alias(f"old_{k}") for k in KEYS], F.lit(None).cast("long").alias("old_tokens"), "source", "lang", "w")
-    rollup.apply("0001", old.withColumn("op", F.lit("insert")))
-    gone = old.where("w < 10").withColumn("op", F.lit("delete"))
-    rollup.apply("0002", gone)
-    rollup.apply("0002", gone)
-    rollup.compact()
-    revised = counted.where("w >= 10 and lang <> 'en'").select(F.lit("revise").alias("op"), "source", "lang", F.lit("quarters-2").alias("version"), F.col("q").alias("tokens"), F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), F.lit("words-1").alias("old_version"), F.col("w").alias("old_tokens"))
-    rollup.apply("0003", revised)
-    return rollup.totals()
+        number = sum(n.startswith("compact-") for n in self._names())
+        return self._write(f"compact-{number:08d}", _summed(self.spark.read.schema(SCHEMA).parquet(*tables)), {"batches": batches})
 
 
 def tokenized(docs: DataFrame) -> DataFrame:
@@ -155,31 +130,25 @@ def tokenized(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, fst = packing._encoder(word_path), sentencepiece_fst._compiled(model.value)
         for b in batches:
-            for at in range(0, b.num_rows, packing.TOGETHER):
-                part = b.slice(at, packing.TOGETHER)
-                _, word_ends = encoder.encode(part.column(3))
-                _, piece_ends = fst.cache.texts([fst.units(t) for t in part.column(3).to_pylist()])
-                if encoder.cache.words > KEPT or len(encoder.stems) > KEPT:
-                    encoder.cache.reset()
-                    encoder.stems = {"": b""}
-                if fst.cache.words > KEPT:
-                    fst.cache.reset()
-                yield pa.record_batch([*part.columns[:3], pa.array(np.diff(np.r_[0, word_ends]), pa.int64()), pa.array(np.diff(np.r_[0, piece_ends]), pa.int64())], ["source", "lang", "w", "bpe", "piece"])
-
-    rows = docs.select(F.col("source").cast("string"), F.col("lang").cast("string"), word_tokens(F.col("text")).alias("w"), "text")
+            for at, past in slices(b.column(2)):
+                part = b.slice(at, past - at)
+                counts = *encoder.counts(part.column(2)), fst.counts(part.column(2).to_pylist())
+                yield pa.record_batch([*part.columns[:2], *(pa.array(n, pa.int64()) for n in counts)], ["source", "lang", "w", "bpe", "piece"])
+
+    rows = docs.select(F.col("source").cast("string"), F.col("lang").cast("string"), "text")
     return rows.mapInArrow(run, "source string, lang string, w bigint, bpe bigint, piece bigint")
 
 
-#: Versions of the totals of ``tokenizer_counts``, and the columns of ``tokenized`` that have their counts.
+#: Versions of the totals of ``corpus_counts``, and the columns of ``tokenized`` that have their counts.
 TOKENIZERS = {"word_bpe_49k": "bpe", "piece_bpe_32k": "piece"}
 
 
-def tokenizer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of all of ``documents`` by both real tokenizers after four batches: all inserted by the word tokenizer and, as
     a first guess to be revised, by whitespace words; those of under ten words deleted, sent twice; these inserted again by
     both; the guesses of the others revised to the counts of the piece model. The store is compacted between."""
     counted = settled(tokenized(table(spark, sf_dir, "documents")), "tokenized")
-    rollup = Rollup(spark, f"{shared_dir(spark)}/tokenizer-rollup-{uuid.uuid4().hex}")
+    rollup = Rollup(spark, scratch(spark, "token-rollup"))
     bpe, piece = TOKENIZERS
     none = [F.lit(None).cast("string").alias(f"old_{k}") for k in KEYS] + [F.lit(None).cast("long").alias("old_tokens")]
 
@@ -197,11 +166,3 @@ def tokenizer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = [F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), F.lit("words-1").alias("old_version"), F.col("w").alias("old_tokens")]
     rollup.apply("0004", rest.select(F.lit("revise").alias("op"), "source", "lang", F.lit(piece).alias("version"), F.col(TOKENIZERS[piece]).alias("tokens"), *old))
     return rollup.totals()
-
-
-ORACLE_SQL = r"""
-with d as (select source, lang, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) as w,
-  ceil(length(coalesce(text, '')) / 4)::bigint as q from documents),
-v as (select source, lang, case when lang <> 'en' then 'quarters-2' else 'words-1' end as version, case when lang <> 'en' then q else w end as t from d where w >= 10)
-select source, lang, version, count(*)::bigint as n_docs, sum(t)::bigint as n_tokens from v group by all
-"""
