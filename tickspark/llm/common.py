@@ -12,7 +12,19 @@ SPACE = r"[\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Bytes of a batch of rows that goes to a Python worker; every task has a few such batches at a time, in and beside the JVM.
+ARROW_BATCH, ARROW_DEFAULT = "8m", 64 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: batches of the default 64 MB would take most of an executor's memory. A size set by the user stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, str(ARROW_DEFAULT), f"{ARROW_DEFAULT}b", "64m", "64MB"):
+        spark.conf.set(key, ARROW_BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
