@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that the words of a worker may take, about; longer keys are not kept at all.
-BYTES, KEY_LENGTH = 64 << 20, 48
+BYTES, KEY_LENGTH = 192 << 20, 48
 #: Bytes that an entry takes besides its ids: key, value and place in a table.
 ENTRY = 200
 #: Words encoded together.

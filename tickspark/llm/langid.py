@@ -10,9 +10,10 @@ more than one switch costs in any other language, and a first and a last stretch
 that has the best language somewhere pays a switch for each stretch of another one; a path that has it nowhere pays one
 less, and its first and last stretch have to make up for that switch. Only the others run the dynamic program.
 
-The model is fitted on at most ``SAMPLE`` rows of each of at most ``LANGUAGES`` languages, the first by a hash of doc_id
-(counts of n-grams, never texts, reach the driver: a table of fixed size for each language). Everything else
-covers every row and whole texts.
+The model is fitted on at most ``SAMPLE`` rows of each language, the first by a hash of doc_id (counts of n-grams, never
+texts, reach the driver: a table of fixed size for each language). Every lang value is learned; with very many, each gets a
+smaller table, so that all together stay within ``MODEL_BYTES``. Everything else covers every row and whole texts; n-grams of
+a long text are looked up slice by slice, and its words' scores are kept.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0. A null doc_id is not held out and not learned from.
 If there is nothing to learn from, every text is ``und``. Repeated rows are labelled one by one; extra columns are ignored.
@@ -20,6 +21,7 @@ If there is nothing to learn from, every text is ``und``. Repeated rows are labe
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,9 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE, LANGUAGES, SHARES = 2000, 256, 40
-#: N-grams are hashed into so many bits.
-BITS = 16
+from tickspark.sources.schema import bounded
+
+SAMPLE, SHARES = 2000, 40
+#: N-grams are hashed into so many bits, or into fewer if the tables of all languages would be larger than so many bytes.
+BITS, MODEL_BYTES = 16, 256 << 20
+#: Code points of a text that are looked up together, and the next break between words.
+SLICE = 1 << 18
 #: Natural-log cost of a change of language.
 SWITCH = 15.0
 #: A word in a script that a language does not use.
@@ -111,6 +117,17 @@ def _words(text: str) -> Words | None:
     return Words(start, end, script[points[start]], first, two[at].astype(np.int64), three[at].astype(np.int64))
 
 
+def _slices(text: str, most: int | None = None) -> Iterator[tuple[int, str]]:
+    """Parts of a text and where they start; a cut is before a character that is no letter."""
+    letter, most, at = _tables()[0], most or SLICE, 0
+    while at < len(text):
+        end = at + most
+        while end < len(text) and letter[ord(text[end])]:
+            end += 1
+        yield at, text[at:end] if at or end < len(text) else text
+        at = end
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -120,7 +137,8 @@ class Model:
 
     def scores(self, w: Words) -> np.ndarray:
         """words x languages."""
-        s = np.add.reduceat(self.two[w.two] + self.three[w.three], w.first, axis=0)
+        less = BITS - int(len(self.two)).bit_length() + 1
+        s = np.add.reduceat(self.two[w.two >> less] + self.three[w.three >> less], w.first, axis=0)
         allowed = self.own[w.script]
         s = np.where(allowed, s, FOREIGN)
         s[~allowed.any(axis=1)] = 0
@@ -149,31 +167,47 @@ class Model:
         return out
 
     def label(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
-        w = _words(text) if text and self.languages else None
-        if w is None:
+        start, end, scores = [], [], []
+        for at, part in _slices(text) if text and self.languages else ():
+            if (w := _words(part)) is not None:
+                start.append(w.start + at)
+                end.append(w.end + at)
+                scores.append(self.scores(w))
+        if not scores:
             return "und", 0.0, []
-        path = self.path(self.scores(w))
-        letters = np.bincount(path, w.end - w.start, len(self.languages))
+        start, end = np.concatenate(start), np.concatenate(end)
+        path = self.path(np.concatenate(scores))
+        letters = np.bincount(path, end - start, len(self.languages))
         k = int(letters.argmax())
         cut = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
         last = np.r_[cut[1:] - 1, len(path) - 1]
-        return self.languages[k], float(letters[k] / letters.sum()), [(int(w.start[a]), int(w.end[b]), self.languages[path[a]]) for a, b in zip(cut, last, strict=True)]
+        return self.languages[k], float(letters[k] / letters.sum()), [(int(start[a]), int(end[b]), self.languages[path[a]]) for a, b in zip(cut, last, strict=True)]
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[str, list[np.ndarray]] = {}
-    for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if (w := _words(text)) is None:
-                continue
-            c = found.setdefault(lang, [np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), np.zeros(len(SCRIPTS) + 1, np.int64)])
-            c[0] += np.bincount(w.two, minlength=1 << BITS)
-            c[1] += np.bincount(w.three, minlength=1 << BITS)
-            c[2] += np.bincount(w.script, w.end - w.start, len(SCRIPTS) + 1).astype(np.int64)
+def _counts(bits: int):
+    """One row of counts for every language of a task, whose batches are gone through once; at most the model's size is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list[np.ndarray]] = {}
+        for b in batches:
+            for lang, text in zip(b.column(0), b.column(1), strict=True):
+                for _, part in _slices(text.as_py()):
+                    if (w := _words(part)) is None:
+                        continue
+                    c = found.setdefault(lang.as_py(), [np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64), np.zeros(len(SCRIPTS) + 1, np.int64)])
+                    np.add.at(c[0], w.two >> (BITS - bits), 1)
+                    np.add.at(c[1], w.three >> (BITS - bits), 1)
+                    c[2] += np.bincount(w.script, w.end - w.start, len(SCRIPTS) + 1).astype(np.int64)
+        yield from _rows(found)
+
+    return run
+
+
+def _rows(found: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
     for lang, c in found.items():
         yield pa.record_batch({"lang": [lang]} | {n: [x.astype("<i8").tobytes()] for n, x in zip(("two", "three", "script"), c, strict=True)})
 
@@ -184,28 +218,26 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in b.to_pylist():
             c = [np.frombuffer(r[n], "<i8") for n in ("two", "three", "script")]
             found[r["lang"]] = [x + y for x, y in zip(found[r["lang"]], c, strict=True)] if r["lang"] in found else c
-    for lang, c in found.items():
-        yield pa.record_batch({"lang": [lang]} | {n: [x.tobytes()] for n, x in zip(("two", "three", "script"), c, strict=True)})
+    yield from _rows(found)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
+def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of the rows that may be learned from."""
     rows = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
-    names = [r[0] for r in most.collect()]
+    many = max(1, rows.select("lang").distinct().count())
+    bits = max(8, min(BITS, int(math.log2(MODEL_BYTES / (many * 8)))))  # two tables of four bytes a place
     # The first by hash in each of SHARES shares of a language, so that no task orders a whole language.
     key = F.xxhash64("doc_id")
     place = F.row_number().over(Window.partitionBy("lang", "share").orderBy("key", "doc_id"))
-    ids = rows.where(F.col("lang").isin(names)).select("lang", "doc_id", key.alias("key"), F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(SHARES)).alias("share"))
+    ids = rows.select("lang", "doc_id", key.alias("key"), F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(SHARES)).alias("share"))
     ids = ids.withColumn("place", place).where(F.col("place") <= max(1, sample // SHARES)).select(F.col("lang").alias("l"), F.col("doc_id").alias("d")).distinct()
-    # At most LANGUAGES times SAMPLE ids.
-    taken = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("d")) & (F.col("lang") == F.col("l")), "left_semi").select("lang", "text")
+    taken = rows.join(bounded(ids), (F.col("doc_id") == F.col("d")) & (F.col("lang") == F.col("l")), "left_semi").select("lang", "text")
     kind = "lang string, two binary, three binary, script binary"
     # Two rounds, so that the driver gets one row of each language, not one from every task.
-    table = taken.mapInArrow(_counts, kind).repartition(min(16, max(1, len(names))), "lang").mapInArrow(_summed, kind).collect()
+    table = taken.mapInArrow(_counts(bits), kind).repartition(min(16, many), "lang").mapInArrow(_summed, kind).collect()
     table.sort(key=lambda r: r["lang"])
     if not table:
-        return Model([], *(np.zeros((1 << BITS, 0), np.float32),) * 2, np.zeros((len(SCRIPTS) + 1, 0), bool))
+        return Model([], *(np.zeros((1 << bits, 0), np.float32),) * 2, np.zeros((len(SCRIPTS) + 1, 0), bool))
     count = {n: np.array([np.frombuffer(r[n], "<i8") for r in table], float).T for n in ("two", "three", "script")}
     logs = {}
     for n in ("two", "three"):
