@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled
-from .idcache import IdCache, slices
+from .idcache import BYTES, IdCache, slices
 
 LENGTH = 4096
 END = 2
@@ -74,6 +74,7 @@ class Encoder:
         for token, i in tokenizer.get_vocab().items():
             self.ends_word[i] = token.endswith("</w>")
         self.cache = IdCache(self._words)
+        self.stems = IdCache(self._stems, BYTES // 2)
         self.tails = {"": b"", **{t: self._each([t])[0] for t in ".,"}}
 
     def _each(self, words: list[str]) -> list[bytes]:
@@ -101,17 +102,18 @@ class Encoder:
             else:
                 stems.append(w)
                 tails.append("")
-        new = set(stems)
-        new.discard("")
-        known = {"": b""}
-        plain = [w for w in new if w.isalpha() and w == w.lower() and max(w) < LATIN]
-        if plain:
-            known.update(zip(plain, self._plain(plain), strict=True))
-        if len(plain) < len(new):
-            odd = list(new.difference(plain))
-            known.update(zip(odd, self._each(odd), strict=True))
+        unique = list(dict.fromkeys(stems))
+        known = dict(zip(unique, self.stems.get(unique), strict=True))
         return [known[w] + self.tails[t] for w, t in zip(stems, tails, strict=True)]
 
+    def _stems(self, words: list[str]) -> list[bytes]:
+        plain = [w for w in words if w.isalpha() and w == w.lower() and max(w) < LATIN]
+        known = dict(zip(plain, self._plain(plain), strict=True)) if plain else {}
+        odd = [w for w in words if w not in known]
+        if odd:
+            known.update(zip(odd, self._each(odd), strict=True))
+        return [known[w] for w in words]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts one after the other, without end ids, and where each text ends. Each different word is looked up once."""
         words, ends = self._split(texts)
