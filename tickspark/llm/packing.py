@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled
-from .idcache import BYTES, IdCache, slices
+from .idcache import IdCache, slices
 
 LENGTH = 4096
 END = 2
@@ -74,8 +74,6 @@ class Encoder:
         for token, i in tokenizer.get_vocab().items():
             self.ends_word[i] = token.endswith("</w>")
         self.cache = IdCache(self._words)
-        self.stems = IdCache(self._stems, BYTES // 2)
-        self.tails = {"": b"", **{t: self._each([t])[0] for t in ".,"}}
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.encode_batch(words, add_special_tokens=False)]
@@ -90,23 +88,6 @@ class Encoder:
         return [raw[a:b] for a, b in zip([0, *cut], cut, strict=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words. ASCII words are lower-cased, as the tokenizer does, and a full stop or comma after a letter or
-        digit, which it always parts from the word, is put behind its ids, so fewer words have to be encoded."""
-        stems, tails = [], []
-        for w in words:
-            if w.isascii() and "<" not in w:
-                w = w.lower()
-            if w.endswith((".", ",")) and w[-2:-1].isalnum() and w[-2] < "\x80":
-                stems.append(w[:-1])
-                tails.append(w[-1])
-            else:
-                stems.append(w)
-                tails.append("")
-        unique = list(dict.fromkeys(stems))
-        known = dict(zip(unique, self.stems.get(unique), strict=True))
-        return [known[w] + self.tails[t] for w, t in zip(stems, tails, strict=True)]
-
-    def _stems(self, words: list[str]) -> list[bytes]:
         plain = [w for w in words if w.isalpha() and w == w.lower() and max(w) < LATIN]
         known = dict(zip(plain, self._plain(plain), strict=True)) if plain else {}
         odd = [w for w in words if w not in known]
@@ -124,12 +105,20 @@ class Encoder:
         """How many words, and how many ids without an end id, each text has."""
         words, ends = self._split(texts)
         n = self.cache.counts(words.dictionary.to_pylist(), words.indices.to_numpy())
-        return np.diff(np.r_[0, ends]), np.diff(np.r_[0, np.cumsum(n)][np.r_[0, ends]])
+        spaced = pc.count_substring_regex(texts.fill_null(""), r"[^\x20\x09-\x0D]+").to_numpy()
+        return spaced, np.diff(np.r_[0, np.cumsum(n)][np.r_[0, ends]])
 
     @staticmethod
     def _split(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-        """The words of all texts, and how many there are up to the end of each text."""
-        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        """The words of all texts, and how many there are up to the end of each text.
+
+        A-Z are lower-cased, as the tokenizer does, and a full stop or comma after a letter or digit of ASCII, which it always
+        parts from the word, becomes a word of its own, so fewer different words have to be encoded. Texts that may hold a
+        special token are left as they are.
+        """
+        texts = texts.fill_null("")
+        fewer = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z0-9])([.,])([\x09-\x0D\x20]|$)", r"\1 \2\3")
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<"), texts, fewer))
         offsets = split.offsets.to_numpy()
         return split.flatten().dictionary_encode(), offsets[1:] - offsets[0]
 
