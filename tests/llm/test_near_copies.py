@@ -72,3 +72,22 @@ def test_parities_rule_out_most_other_pairs():
     x = np.unique(rng.integers(-(2**63), 2**63 - 1, 100))
     y = np.concatenate([x[:70], rng.integers(-(2**63), 2**63 - 1, 30)])
     assert not s.close(len(x), s.parity(x)[:, None], np.array([len(y)]), s.parity(y)[:, None]).any()
+
+
+def test_index_of_fingerprints_finds_links(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = np.random.default_rng(2)
+    bases = [[f"w{k}" for k in rng.integers(0, 4000, 300)] for _ in range(20)]
+    rows = [(20 * k + j, noisy(rng, base, 0.006 * j)) for k, base in enumerate(bases) for j in range(4)]
+    rows += [(1000 + r["doc_id"], r["text"]) for r in docs.collect()]
+    sets = {i: s.shingles((t or "").encode()) for i, t in rows}
+    prints = {i: np.uint64(s.simhash.majority(x) & (2**64 - 1)) for i, x in sets.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = s.settled(s._sets(df), "test-sets")
+    nodes = found.groupBy("digest").agg(s.F.min("doc_id").alias("node")).select("node").distinct()
+    texts = df.select(s.F.col("doc_id").alias("node"), s.F.col("text").cast("binary").alias("text"))
+    got = {(r["u"], r["v"]) for r in s.indexed(found, nodes, texts).collect()}
+    bits = [int(np.bitwise_count(prints[u] ^ prints[v])) for u, v in got]
+    assert all(s._similar(sets[u], sets[v]) for u, v in got) and max(bits) <= s.simhash.WIDE and sum(b > 3 for b in bits) > 5
+    edges = {(min(r["u"], r["v"]), max(r["u"], r["v"])) for r in s.links(df)[1].collect()}
+    assert got <= edges  # the rest are what the exact join adds

@@ -83,6 +83,24 @@ def test_split_buckets_lose_no_link(spark, monkeypatch, bucket):
     assert [root.get(i, i) for i in ids.tolist()] == brute_components(ids, fps).tolist()
 
 
+@pytest.mark.parametrize("bucket", [16, 4096])
+def test_candidates_are_near_and_join_all_links(spark, monkeypatch, bucket):
+    monkeypatch.setattr(s, "BUCKET", bucket)
+    rng = np.random.default_rng(9)
+    fps = np.r_[fingerprints(rng, 300, 3, 2), fingerprints(rng, 200, 12, 20)]
+    fps = np.r_[fps, fps[:40]]
+    ids = rng.permutation(len(fps))
+    of = dict(zip(ids.tolist(), fps, strict=True))
+    nodes = spark.createDataFrame([(int(f), int(i)) for f, i in zip(fps.view(np.int64), ids, strict=True)], "fp long, node long")
+    got = s.candidates(nodes)
+    pairs = [(r["u"], r["v"]) for r in got.collect()]
+    bits = [int(np.bitwise_count(of[u] ^ of[v])) for u, v in pairs]
+    assert len(set(pairs)) == len(pairs) and all(u < v for u, v in pairs) and 3 < max(bits) <= s.WIDE
+    root = {r["node"]: r["root"] for r in components(got).collect()}
+    three = brute_components(ids, fps)
+    assert all(root.get(int(i), int(i)) == root.get(int(t), int(t)) for i, t in zip(ids, three, strict=True))
+
+
 def test_components_of_a_long_path_and_a_hub(spark):
     path = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     hub = spark.range(1000, 2000).select(F.col("id").alias("u"), F.lit(1500).cast("long").alias("v"))

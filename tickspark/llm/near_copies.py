@@ -1,16 +1,21 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, joined without loss.
 
-Two such sets share at least four fifths of either, so in any one order of all shingles they share one of the first fifth
-of each: a row for each of these finds every pair. The order puts the shingles that a sample of documents has most often
-last, so few documents meet that are not alike; the sample decides how fast the join is and never what it finds. In a
-bucket of documents that share a shingle, a pair goes on only if its sizes and the places of the shingle leave room for
-0.8, which holds in the bucket of the first shingle that two near copies share.
-
-Large groups never become all their pairs: in a few rounds, every document is compared with a head of its buckets, mostly
-the same one in all buckets of a group and another in each round, if it is not in the head's component yet; afterwards only
-pairs that are not in one component are compared. Every row carries the parity of its set in 256 bits: two sets differ in no
-fewer shingles than their parities in bits, so a pair with more than 0.8 allows goes in its bucket. Pairs that the first
-shingles rule out go next; every other comparison is of the whole sets. A group is a connected component of links, and its document with the least doc_id stays.
+Operator 1 finds them first: every set has a 64-bit SimHash of its shingles, and the Gray-order index of ``simhash.py`` brings
+together sets whose fingerprints differ in few bits. Its pairs are compared whole, and what is similar becomes a link. The
+index spans a large group with few pairs, so such a group never becomes all its pairs.
+
+Similar sets can differ in more bits than any index of 64 can afford, so an exact join finds the links that are left, of
+sets that are not in one component yet. Two similar sets share at least four fifths of either, so in any one order of all
+shingles they share one of the first fifth of each: a row for each of these finds every pair. The order puts the shingles
+that a sample of documents has most often last, so few documents meet that are not alike; the sample decides how fast the
+join is and never what it finds. In a bucket of documents that share a shingle, a pair goes on only if its sizes and the
+places of the shingle leave room for 0.8, which holds in the bucket of the first shingle that two near copies share.
+
+In each of some rounds, every document is compared with a head of its buckets, mostly the same one in all buckets of a group
+and another in each round, if it is not in the head's component yet; afterwards only pairs that are not in one component are
+compared. Every row carries the parity of its set in 256 bits: two sets differ in no fewer shingles than their parities in
+bits, so a pair with more than 0.8 allows goes in its bucket. Pairs that the first shingles rule out go next; every other
+comparison is of the whole sets. A group is a connected component of links, and its document with the least doc_id stays.
 
 Nulls: a null or wordless text has one shingle of its own and links like any other; a text of under five words is one
 shingle. Rows with a null doc_id take no part in linking and stay. Of equal rows, all stay. An empty table gives an empty
@@ -27,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import settled, shuffle_partitions
 from .components import components
 
@@ -37,7 +43,7 @@ NUM, DEN = 4, 5
 SAMPLE = 40_000
 COMMON = 1 << 20
 #: Rounds of comparisons with the head of a bucket.
-ROUNDS = 3
+ROUNDS = 1
 #: Bits of a set's parity, and the columns of 64 of them.
 BITS = 256
 PARITY = [f"p{k}" for k in range(BITS // 64)]
@@ -48,7 +54,7 @@ PARTNERS = 1024
 #: Rows of a bucket up to which those without any partner are dropped before texts are fetched.
 BUCKET = 4096
 
-_SET = "doc_id bigint, n int, digest bigint, often bigint, first array<bigint>, " + ", ".join(f"{p} bigint" for p in PARITY)
+_SET = "doc_id bigint, n int, digest bigint, fp bigint, often bigint, first array<bigint>, " + ", ".join(f"{p} bigint" for p in PARITY)
 _ROWS = "gram bigint, node bigint, n int, at int"
 
 
@@ -110,13 +116,13 @@ def _commonest(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """Size, digest and first shingles, in order, of the set of every row with a doc_id; often: the count of the last of these."""
+    """Size, digest, fingerprint and first shingles, in order, of the set of every row with a doc_id; often: the count of the last of these."""
     common = docs.sparkSession.sparkContext.broadcast(_commonest(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts = common.value
         for b in batches:
-            n, digest, last, first = [], [], [], []
+            n, digest, prints, last, first = [], [], [], [], []
             bits = np.zeros((len(PARITY), b.num_rows), np.int64)
             for k, t in enumerate(b.column(1)):
                 s = shingles(t.as_py())
@@ -127,12 +133,13 @@ def _sets(docs: DataFrame) -> DataFrame:
                     often = np.where(grams[at] == s, counts[at], 0)
                 n.append(len(s))
                 digest.append(xxhash.xxh3_64_intdigest(s.tobytes()))
+                prints.append(simhash.majority(s))
                 order = np.lexsort((s, often))[: len(s) - needed(len(s)) + 1]
                 last.append(often[order[-1]])
                 first.append(s[order])
             ends = np.r_[0, np.cumsum([len(f) for f in first])].astype(np.int32)
             flat = pa.array(np.concatenate(first) if first else np.zeros(0, np.int64))
-            yield pa.record_batch({"doc_id": b.column(0), "n": pa.array(n, pa.int32()), "digest": pa.array(np.array(digest, np.uint64).view(np.int64)), "often": pa.array(last, pa.int64()), "first": pa.ListArray.from_arrays(pa.array(ends), flat)} | dict(zip(PARITY, map(pa.array, bits), strict=True)))
+            yield pa.record_batch({"doc_id": b.column(0), "n": pa.array(n, pa.int32()), "digest": pa.array(np.array(digest, np.uint64).view(np.int64)), "fp": pa.array(prints, pa.int64()), "often": pa.array(last, pa.int64()), "first": pa.ListArray.from_arrays(pa.array(ends), flat)} | dict(zip(PARITY, map(pa.array, bits), strict=True)))
 
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, _SET)
 
@@ -279,30 +286,38 @@ def _compared(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     return _fitting(some.distinct(), texts, lambda text: shingles(text.as_py()), _similar)
 
 
+def indexed(sets: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links (u, v) among the pairs that the Gray-order index of fingerprints brings together."""
+    prints = sets.join(nodes, sets["doc_id"] == nodes["node"], "left_semi").select("fp", F.col("doc_id").alias("node")).distinct()
+    return _compared(simhash.candidates(settled(prints, "fingerprints", small=True)), sets, texts)
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The least doc_id (node) of each different set, and edges (u, v) of nodes that span every component of near copies."""
     n = shuffle_partitions(docs.sparkSession)
     sets = settled(_sets(docs), "shingle-sets")
-    nodes = sets.groupBy("digest").agg(F.min("doc_id").alias("node")).select("node").distinct()
+    nodes = settled(sets.groupBy("digest").agg(F.min("doc_id").alias("node")).select("node").distinct(), "set-nodes", small=True)
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
+    near = indexed(sets, nodes, texts)
+
     rows = sets.join(nodes, sets["doc_id"] == nodes["node"], "left_semi").select(F.posexplode("first").alias("at", "gram"), F.col("doc_id").alias("node"), "n")
     dealt = rows.select("gram", "node", "n", "at").repartition(n, "gram").sortWithinPartitions("gram")
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
     rows = settled(dealt.mapInArrow(_by_bucket(_partnered, ["gram", "node", "n", "at"], types), _ROWS), "near-buckets", small=True)
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
 
     def pairs(of: DataFrame, one: Callable) -> DataFrame:
         return of.mapInArrow(_by_bucket(one, ["u", "v"], types[:2]), "u bigint, v bigint")
 
+    def rooted() -> DataFrame:
+        roots = components(near).select(F.col("node").alias("member"), "root")
+        return rows.join(roots, F.col("node") == F.col("member"), "left").select("gram", "node", "n", "at", F.coalesce("root", "node").alias("root"), *PARITY)
+
     bits = sets.select(F.col("doc_id").alias("member"), *PARITY).dropDuplicates(["member", *PARITY])
     rows = settled(rows.join(bits, F.col("node") == F.col("member")).select("gram", "node", "n", "at", *PARITY), "near-rows", small=True)
-    near, rooted = None, rows.withColumn("root", F.col("node"))
     for k in range(ROUNDS):
-        by_head = rooted.select("gram", F.xxhash64("node", F.lit(k)).alias("order"), "node", "n", "at", "root", *PARITY).repartition(n, "gram").sortWithinPartitions("gram", "order", "node")
-        found = _compared(pairs(by_head, _headed), sets, texts)
-        near = found if near is None else near.union(found)
-        roots = components(near).select(F.col("node").alias("member"), "root")
-        rooted = rows.join(roots, F.col("node") == F.col("member"), "left").select("gram", "node", "n", "at", F.coalesce("root", "node").alias("root"), *PARITY)
-    rest = _compared(pairs(rooted.repartition(n, "gram").sortWithinPartitions("gram"), _across), sets, texts)
+        by_head = rooted().select("gram", F.xxhash64("node", F.lit(k)).alias("order"), "node", "n", "at", "root", *PARITY).repartition(n, "gram").sortWithinPartitions("gram", "order", "node")
+        near = near.union(_compared(pairs(by_head, _headed), sets, texts))
+    rest = _compared(pairs(rooted().repartition(n, "gram").sortWithinPartitions("gram"), _across), sets, texts)
     return nodes, near.union(rest)
 
 

@@ -4,7 +4,8 @@ A fingerprint has 64 bits; two documents link if theirs differ in at most ``DIST
 component of links.
 
 The join is split without losing a pair: of 4 blocks of 16 bits, two linked fingerprints share at least one, so each
-distinct fingerprint goes to four buckets. A bucket with more than ``BUCKET`` fingerprints is split again in the same way
+distinct fingerprint goes to four buckets. (``candidates`` takes a wider limit and more, overlapping blocks; it finds every
+pair within ``DISTANCE``, and of wider pairs those that share a block. Its caller checks each pair and finds the others.) A bucket with more than ``BUCKET`` fingerprints is split again in the same way
 by the other 48 bits, and if need be into squares of chunks, so no task gets an unbounded bucket. Within a bucket,
 fingerprints are sorted by Gray rank, so that neighbours share long masked bit patterns; runs of ``FAN`` become nodes
 that hold the bits their members share, and runs of nodes become upper nodes. Pairs of nodes are searched from the top:
@@ -19,7 +20,7 @@ than doc_id and text are ignored by ``near_duplicates`` and kept by ``deduplicat
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,10 @@ from .components import components
 
 DISTANCE = 3
 SHINGLE = 3
+#: Blocks of 16 bits that a fingerprint is looked up by: disjoint ones.
+BLOCKS = 4
+#: Bits and overlapping blocks of ``candidates``.
+WIDE, MANY = 11, 16
 #: Fingerprints in a bucket before it is split.
 BUCKET = 4096
 FAN = 8
@@ -41,6 +46,17 @@ HOT = 1000
 FRONTIER = 1 << 17
 
 
+def counts_of(h: np.ndarray) -> np.ndarray:
+    """How many of these 64-bit hashes have each bit set."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint, signed, of a set of hashes: bit i is set if it is set in over half of them."""
+    counts = sum(counts_of(h[at : at + (1 << 16)]) for at in range(0, len(h), 1 << 16))
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
     """64 bits; bit i is set if it is set in over half the shingle hashes."""
     w = (text or b"").lower().split()  # bytes: only A-Z, and only the spaces of the word rule
@@ -51,7 +67,7 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
         part = w[at : at + (1 << 16) + size - 1]
         grams = (b" ".join(x) for x in zip(*(part[k:] for k in range(size)), strict=False)) if len(w) >= size else (b" ".join(w),)
         h = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += counts_of(h)
         total += len(h)
     return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0])
 
@@ -95,6 +111,7 @@ class GrayIndex:
         """For each fingerprint, in the order given to the constructor, the least sorted place of its component."""
         n = len(self.order)
         label = np.arange(n)
+        self.tree: list[tuple[np.ndarray, np.ndarray]] = []
         top = len(self.first)
         roots = np.arange(len(self.all[top]))
         stack = [(top, roots, roots)]
@@ -154,8 +171,12 @@ class GrayIndex:
         other, _ = self._leaves(level, b)
         return self._join(label, np.r_[inside, heads], np.r_[members, other])
 
-    @staticmethod
-    def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def spanning(self) -> tuple[np.ndarray, np.ndarray]:
+        """Linked pairs, in the order given to the constructor, that span every component ``components`` found."""
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*self.tree, strict=True) if self.tree else ((), ())))
+        return self.order[a], self.order[b]
+
+    def _join(self, label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Labels after these links: the least label reached, by hooking and pointer jumping."""
         while len(a):
             x, y = label[a], label[b]
@@ -165,6 +186,9 @@ class GrayIndex:
             a, b = a[keep], b[keep]
             lo, hi = np.minimum(x, y)[keep], np.maximum(x, y)[keep]
             np.minimum.at(label, hi, lo)
+            took = np.flatnonzero(label[hi] == lo)
+            took = took[np.unique(hi[took], return_index=True)[1]]
+            self.tree.append((a[took], b[took]))
             while True:
                 nxt = label[label]
                 if np.array_equal(nxt, label):
@@ -173,9 +197,35 @@ class GrayIndex:
         return label
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket, to a star of edges for every component of a bucket."""
-    kept: list[tuple[np.ndarray, ...]] = []
+def _stars(fp: np.ndarray, rep: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star of edges for every component of a bucket."""
+    label = GrayIndex(fp, group).components()
+    order = np.lexsort((rep, label))
+    label, rep = label[order], rep[order]
+    start = np.r_[True, label[1:] != label[:-1]]
+    head = rep[np.flatnonzero(start)[np.cumsum(start) - 1]]
+    return rep[~start], head[~start]
+
+
+def _near(fp: np.ndarray, rep: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within ``WIDE`` bits that span the components of a bucket: of a component's least member with all it is that
+    near to, so that the buckets of a group give mostly the same pairs, and links of the others."""
+    index = GrayIndex(fp, group)
+    label = index.components(WIDE)
+    order = np.lexsort((rep, label))
+    start = np.r_[True, label[order][1:] != label[order][:-1]]
+    head = np.empty(len(rep), np.int64)
+    head[order] = order[np.flatnonzero(start)[np.cumsum(start) - 1]]
+    direct = np.bitwise_count(fp ^ fp[head]) <= WIDE
+    a, b = index.spanning()
+    other = ~(direct[a] & direct[b])
+    u, v = np.r_[rep[direct], rep[a[other]]], np.r_[rep[head[direct]], rep[b[other]]]
+    keep = u != v
+    return np.minimum(u, v)[keep], np.maximum(u, v)[keep]
+
+
+def _linked(link: Callable) -> Callable:
+    """A function of rows sorted by bucket, to the edges that ``link`` makes of those of several buckets at a time."""
 
     def edges(rows: list[tuple[np.ndarray, ...]], last: bool) -> tuple[pa.RecordBatch | None, list]:
         cols = [np.concatenate(c) for c in zip(*rows, strict=True)]
@@ -191,35 +241,48 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(at):
             return None, rest
         _, group = np.unique(group[at], return_inverse=True)
-        fp, rep = fp[:end][at].view(np.uint64), rep[:end][at]
-        label = GrayIndex(fp, group).components()
-        order = np.lexsort((rep, label))
-        label, rep = label[order], rep[order]
-        start = np.r_[True, label[1:] != label[:-1]]
-        head = rep[np.flatnonzero(start)[np.cumsum(start) - 1]]
-        out = ~start
-        return pa.record_batch({"u": pa.array(rep[out]), "v": pa.array(head[out])}), rest
-
-    size = 0
-    for b in batches:
-        kept.append(tuple(c.to_numpy(zero_copy_only=False) for c in b.columns))
-        size += b.num_rows
-        if size >= 4 * BUCKET:
-            found, kept = edges(kept, False)
-            size = len(kept[0][0])
+        u, v = link(fp[:end][at].view(np.uint64), rep[:end][at], group)
+        return pa.record_batch({"u": pa.array(u), "v": pa.array(v)}), rest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for b in batches:
+            kept.append(tuple(c.to_numpy(zero_copy_only=False) for c in b.columns))
+            size += b.num_rows
+            if size >= 4 * BUCKET:
+                found, kept = edges(kept, False)
+                size = len(kept[0][0])
+                if found is not None:
+                    yield found
+        if size:
+            found, _ = edges(kept, True)
             if found is not None:
                 yield found
-    if size:
-        found, _ = edges(kept, True)
-        if found is not None:
-            yield found
+
+    return run
 
 
 def links(nodes: DataFrame) -> DataFrame:
     """Distinct (fp, rep) to edges (u, v) of reps that span every component of links."""
-    rest = F.expr("shiftleft(fp, 48 - 16 * t) | shiftrightunsigned(fp, 16 * (t + 1))")
-    rows = nodes.select("fp", "rep", F.explode(F.array(*[F.lit(t) for t in range(4)])).alias("t"))
-    rows = rows.select("fp", "rep", F.expr("t * 65536 + cast(shiftrightunsigned(fp, 16 * t) & 65535 as int)").alias("k1"), F.when(F.col("t") == 3, F.col("fp")).otherwise(rest).bitwiseAND(F.lit(2**48 - 1)).alias("rest"))
+    return _joined(nodes, BLOCKS, _stars)
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(fp, node), fp not always distinct, to pairs (u, v), u < v, of nodes whose fingerprints differ in at most ``WIDE`` bits.
+
+    They span the components that such pairs make in each bucket of the index, but are not all pairs.
+    """
+    reps = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
+    equal = nodes.join(reps, "fp").where("rep < node").select(F.col("rep").alias("u"), F.col("node").alias("v"))
+    return _joined(reps, MANY, _near).union(equal).distinct()
+
+
+def _joined(nodes: DataFrame, blocks: int, link: Callable) -> DataFrame:
+    """(fp, rep) to what ``link`` makes of the buckets of fingerprints that share one of so many blocks of 16 bits."""
+    rows = nodes.select("fp", "rep", F.explode(F.array(*[F.lit(t) for t in range(blocks)])).alias("t"))
+    turned = f"(shiftrightunsigned(fp, {64 // blocks} * t) | shiftleft(fp, 64 - {64 // blocks} * t))"  # shifts are modulo 64
+    rows = rows.select("fp", "rep", F.expr(f"t * 65536 + cast({turned} & 65535 as int)").alias("k1"), F.expr(f"shiftrightunsigned({turned}, 16)").alias("rest"))
     big = rows.groupBy("k1").agg(F.count("*").alias("n1")).where(F.col("n1") > BUCKET)
     split = rows.join(big, "k1", "left")
     cold = split.where("n1 is null").select("k1", F.lit(-1).alias("k2"), F.lit(0).alias("c1"), F.lit(0).alias("c2"), "fp", "rep")
@@ -231,7 +294,7 @@ def links(nodes: DataFrame) -> DataFrame:
     hot = hot.select("k1", "k2", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), "fp", "rep")
     key = ["k1", "k2", "c1", "c2"]
     n = shuffle_partitions(nodes.sparkSession)
-    return cold.union(hot).repartition(n, *key).sortWithinPartitions(*key).mapInArrow(_linked, "u bigint, v bigint")
+    return cold.union(hot).repartition(n, *key).sortWithinPartitions(*key).mapInArrow(_linked(link), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
