@@ -1,10 +1,12 @@
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
 import corpus_pipeline as p
 from tickspark.llm import near_copies as s
+from tickspark.llm import packing
 
 
 def brute_keep(rows):
@@ -91,3 +93,20 @@ def test_index_of_fingerprints_finds_links(spark, sf):
     assert all(s._similar(sets[u], sets[v]) for u, v in got) and max(bits) <= s.simhash.WIDE and sum(b > 3 for b in bits) > 5
     edges = {(min(r["u"], r["v"]), max(r["u"], r["v"])) for r in s.links(df)[1].collect()}
     assert got <= edges  # the rest are what the exact join adds
+
+
+def test_order_of_shingles_counts_the_sample(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = Counter(g for r in docs.collect() for g in s.shingles((r["text"] or "").encode()).tolist())
+    gram, n = s._commonest(docs)
+    assert dict(zip(gram.tolist(), n.tolist(), strict=True)) == {g: k for g, k in want.items() if k > 1}
+    assert (np.diff(gram) > 0).all() and len(s._commonest(docs.limit(0))[0]) == 0
+
+
+def test_words_kept_by_packing_are_released():
+    encoder = packing._encoder(packing.tokenizer_path())
+    encoder.cache.get(["some", "words"])
+    assert encoder.cache.new
+    s.release()
+    assert not encoder.cache.new and not encoder.cache.size
+    assert packing._encoder(packing.tokenizer_path()) is not encoder

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import weakref
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -28,6 +31,26 @@ def slices(texts: pa.Array, rows: int = ROWS, most: int = ROW_BYTES) -> Iterator
         yield at, (at := min(len(texts), at + rows, max(past, at + 1)))
 
 
+#: The caches of this worker, and what drops the encoders that hold them.
+_CACHES: weakref.WeakSet = weakref.WeakSet()
+ENCODERS: list[Callable[[], None]] = []
+
+
+def release() -> None:
+    """Gives back what earlier tasks of this worker keep for operators that encode words; Spark runs the tasks of every stage
+    in the same workers."""
+    if any(c.size or c.old for c in _CACHES):
+        for c in _CACHES:
+            c.clear()
+        for drop in ENCODERS:
+            drop()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class IdCache:
     """encode_many gives the ids of each of a list of words, as the bytes of unsigned 32-bit numbers.
 
@@ -37,6 +60,10 @@ class IdCache:
 
     def __init__(self, encode_many: Callable[[list], Sequence[bytes]], limit: int = BYTES):
         self.encode_many, self.half = encode_many, limit // 2
+        self.clear()
+        _CACHES.add(self)
+
+    def clear(self) -> None:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.size = 0

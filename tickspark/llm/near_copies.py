@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from . import simhash
 from .common import settled, shuffle_partitions
 from .components import components
+from .idcache import release
 
 SHINGLE = 5
 #: Similarity of a link, as a fraction.
@@ -42,6 +43,8 @@ NUM, DEN = 4, 5
 #: Documents sampled for the order of shingles, and the shingles of them, the commonest, that have a place in it.
 SAMPLE = 40_000
 COMMON = 1 << 20
+#: Ranges of shingles, a power of two, that the sample's are counted in, as arrays: as rows they would fill an executor.
+PARTS = 1024
 #: Rounds of comparisons with the head of a bucket.
 ROUNDS = 1
 #: Bits of a set's parity, and the columns of 64 of them.
@@ -94,14 +97,36 @@ def close(n: np.ndarray | int, p: np.ndarray, m: np.ndarray, q: np.ndarray) -> n
 def _commonest(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles (sorted) that a sample has more than once, and how often."""
 
+    def parted(held: list[np.ndarray]) -> pa.RecordBatch:
+        s = np.sort(np.concatenate(held))
+        ends = np.r_[np.searchsorted(s, (np.arange(1, PARTS) - PARTS // 2) << 64 - PARTS.bit_length() + 1), len(s)]
+        parts = [s[a:b].tobytes() for a, b in zip(np.r_[0, ends], ends, strict=False)]
+        return pa.record_batch({"part": pa.array(range(PARTS), pa.int32()), "grams": pa.array(parts, pa.binary())})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        held, size = [], 0
         for b in batches:
             for t in b.column(0):
-                yield pa.record_batch({"gram": pa.array(shingles(t.as_py()))})
+                held.append(shingles(t.as_py()))
+                size += len(held[-1])
+                if size >= 1 << 20:
+                    yield parted(held)
+                    held, size = [], 0
+        if held:
+            yield parted(held)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(x.as_py(), np.int64) for b in batches for x in b.column(1)]
+        if held:
+            gram, n = np.unique(np.concatenate(held), return_counts=True)
+            several = n > 1
+            yield pa.record_batch({"gram": pa.array(gram[several]), "n": pa.array(n[several])})
 
     total = docs.count()
     some = docs.select(F.col("text").cast("binary")).sample(min(1.0, SAMPLE / max(total, 1)), 1)
-    counts = settled(some.mapInArrow(run, "gram bigint").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "shingle-counts", small=True)
+    parts = some.mapInArrow(run, "part int, grams binary").repartition(shuffle_partitions(docs.sparkSession), "part")
+    counts = settled(parts.mapInArrow(count, "gram bigint, n bigint"), "shingle-counts", small=True)
     # From the highest count down, as many whole counts as make COMMON shingles at most; the driver gets these, as columns.
     least, many = 2**62, 0
     for r in counts.groupBy("n").agg(F.count("*").alias("grams")).orderBy(F.desc("n")).collect():
@@ -120,6 +145,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     common = docs.sparkSession.sparkContext.broadcast(_commonest(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         grams, counts = common.value
         for b in batches:
             n, digest, prints, last, first = [], [], [], [], []

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled
-from .idcache import IdCache, slices
+from .idcache import ENCODERS, IdCache, slices
 
 LENGTH = 4096
 END = 2
@@ -129,6 +129,9 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+ENCODERS.append(_encoder.cache_clear)
+
+
 def cuts(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     """(start, end) of the pieces of a document of n tokens."""
     full = n - n % length
