@@ -36,6 +36,14 @@ _CACHES: weakref.WeakSet = weakref.WeakSet()
 ENCODERS: list[Callable[[], None]] = []
 
 
+def trim() -> None:
+    """Gives back to the system what this worker has freed: earlier tasks, of other stages too, leave freed memory behind."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 def release() -> None:
     """Gives back what earlier tasks of this worker keep for operators that encode words; Spark runs the tasks of every stage
     in the same workers."""
@@ -45,10 +53,7 @@ def release() -> None:
         for drop in ENCODERS:
             drop()
         gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    trim()
 
 
 class IdCache:
