@@ -16,10 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tickspark.llm import near_copies, packing, pii, quality, suffix_dedup
 from tickspark.llm.common import forget, settled, small_batches, table
 
+#: Bytes of a batch of rows that goes to a Python worker. What an executor's JVM allocates beside its heap for batches grows from
+#: stage to stage, and less so with small ones.
+BATCH = "2m"
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go, and documents that fail or lose too much."""
-    small_batches(spark)
+    small_batches(spark, BATCH)
     return quality.clean(docs)
 
 

@@ -65,3 +65,11 @@ def test_run_and_empty(spark, sf):
         docs = stage(spark, docs, sf)
         assert docs.count() == 0
     assert p.pack(spark, docs, sf).count() == 0
+
+
+def test_batches_of_the_stages_are_small(spark):
+    """Of 16 MB of text, no batch that reaches a Python worker has more than about 2 MB."""
+    docs = spark.range(160).selectExpr("id doc_id", "repeat(cast(id % 10 as string), 100000) text").coalesce(1)
+    p.quality_rules(spark, docs, "")
+    sizes = docs.mapInArrow(lambda bs: (b.from_pydict({"n": [b.nbytes]}) for b in bs), "n long").collect()
+    assert len(sizes) > 4 and max(r["n"] for r in sizes) < 4 << 20

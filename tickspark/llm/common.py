@@ -16,11 +16,11 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ARROW_BATCH, ARROW_DEFAULT = "8m", 64 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, size: str = ARROW_BATCH) -> None:
     """Texts are long: batches of the default 64 MB would take most of an executor's memory. A size set by the user stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) in (None, str(ARROW_DEFAULT), f"{ARROW_DEFAULT}b", "64m", "64MB"):
-        spark.conf.set(key, ARROW_BATCH)
+    if spark.conf.get(key, None) in (None, str(ARROW_DEFAULT), f"{ARROW_DEFAULT}b", "64m", "64MB", ARROW_BATCH):
+        spark.conf.set(key, size)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

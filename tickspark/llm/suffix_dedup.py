@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions
+from .idcache import trim
 from .suffix_array import _spans, suffix_arrays
 
 LENGTH, GRAM = 50, 16
@@ -506,6 +507,7 @@ def _kept(columns: list[str]):
     """Step 4: the rows of a bucket with what is left of their text; a character that loses a byte goes whole."""
 
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
+        trim()
         c = Corpus(table)
         lo, hi, doc = _removed(c, found)
         rows = table.take(pa.array(c.order))
