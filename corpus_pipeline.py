@@ -19,6 +19,8 @@ from tickspark.llm.common import forget, settled, small_batches, table
 #: Bytes of a batch of rows that goes to a Python worker. What an executor's JVM allocates beside its heap for batches grows from
 #: stage to stage, and less so with small ones.
 BATCH = "2m"
+#: Bytes of words that a worker of packing keeps.
+WORDS = 64 << 20
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, most=WORDS)
 
 
 STAGES = [("quality_rules", quality_rules), ("simhash_near_dedup", near_duplicates), ("suffix_array_dedup", repeated_passages), ("pii", personal_data), ("packing", pack)]

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tickspark.llm import idcache, packing
 
 
@@ -48,22 +49,28 @@ def test_edge_texts(spark):
     assert packing.pack_documents(df.where("doc_id < 0")).count() == 0
 
 
-def test_a_worker_keeps_few_bytes_of_words(spark):
+def test_a_worker_of_the_pipeline_keeps_few_bytes_of_words(spark):
     """What the tasks of one worker keep of 400,000 different words, run here; the ids stay those of the tokenizer."""
 
+    class Found(Exception):
+        pass
+
     class Rows:
         def select(self, *columns):
             return self
 
         def mapInArrow(self, run, schema):
-            return run
+            raise Found(run)
 
+    with pytest.raises(Found) as found:
+        corpus_pipeline.pack(spark, Rows(), "")
+    run = found.value.args[0]
     idcache.release()
     names = ["".join("etaoinshrd"[int(c)] for c in f"{i:06d}") for i in range(400_000)]
     docs = [(i // 400, " ".join(names[i : i + 400])) for i in range(0, len(names), 400)]
     docs += [(1000, docs[0][1])]  # its words have left the cache
     batch = pa.record_batch({"doc_id": [d for d, _ in docs], "text": [t for _, t in docs]})
-    rows = [r for half in (batch[:500], batch[500:]) for b in packing.pieces(Rows(), packing.tokenizer_path())(iter([half])) for r in b.to_pylist()]
+    rows = [r for half in (batch[:500], batch[500:]) for b in run(iter([half])) for r in b.to_pylist()]
     held = [idcache.ENTRY + len(x) for c in idcache._CACHES for kept in (c.new, c.old) for x in kept.values()]
     idcache.release()
     assert 0 < sum(held) <= 64 << 20

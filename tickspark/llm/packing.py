@@ -43,8 +43,6 @@ SHARD = 1 << 16
 UNIT = 8
 #: Pieces of at most so many tokens are left out of the program; they fill the room that is left.
 FILLER = 64
-#: Bytes that the words of a worker may take, about: three times as many were no faster on 107 MB of text.
-WORDS = 64 << 20
 #: Letters below this code point have one composed form and one lower case of one letter.
 LATIN = "\u0180"
 #: Column generation ends when the bound shows it within this share of the optimum.
@@ -141,12 +139,13 @@ def cuts(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     return list(itertools.pairwise(at))
 
 
-def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of the pieces that every document is cut into."""
+def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, most: int = BYTES) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens of the pieces that every document is cut into. most: bytes of words a worker keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trim()
-        encoder = _encoder(tokenizer, WORDS)
+        if most < BYTES:
+            trim()
+        encoder = _encoder(tokenizer, most)
         for b in batches:
             doc, start, size, crc, total = [], [], [], [], []
             for at, past in slices(b.column(1)):
@@ -270,9 +269,12 @@ def _pack_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(sequence_id=(int(key[0]) << 40) + sequence, offset=offset)[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, shard: int = SHARD) -> DataFrame:
-    """One row for each piece: where it starts in its document, its length and checksum, its sequence and offset there."""
-    cut = settled(pieces(docs, tokenizer or tokenizer_path()).withColumn("place", F.monotonically_increasing_id()), "pieces")
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, shard: int = SHARD, most: int = BYTES) -> DataFrame:
+    """One row for each piece: where it starts in its document, its length and checksum, its sequence and offset there.
+
+    most: bytes that the words a worker keeps may take, about; with fewer than the default, it also gives freed memory back.
+    """
+    cut = settled(pieces(docs, tokenizer or tokenizer_path(), most=most).withColumn("place", F.monotonically_increasing_id()), "pieces")
     shards = max(1, math.ceil(cut.count() / shard))
     dealt = cut.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards))).drop("place")
     return dealt.groupBy("shard").applyInPandas(_pack_shard, RESULT)
