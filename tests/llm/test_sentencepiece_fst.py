@@ -61,3 +61,30 @@ def test_unigram_takes_the_least_sum():
             best = max(best or (-1e9, []), (sum(score[p] for p in parts), parts))
     assert [fst.pieces[i] for i in fst.shortest(unit)] == best[1]
     assert fst.shortest("▁zz") == [2, 0]
+
+
+def test_words_are_cut_where_no_piece_crosses(library):
+    """A word is composed once, whatever punctuation or line end is beside it."""
+    fst = f.Transducer(f._model(f.model_path()))
+    texts = ["word, word. word; word? word\nword,", None, "", " word  ", "▁word ▁▁x-- --"]
+    words, ends = fst._split(texts)
+    assert [w for w in words.dictionary.to_pylist() if "word" in w] == [" word", "word", "  word", " ▁word"] and ends.tolist()[1:3] == [ends[0]] * 2
+    assert fst.counts(texts).tolist() == [len(library.encode(t or "")) for t in texts]
+    fst.byte = {}
+    fst._compile()  # without byte fallback a word stays whole
+    assert fst._split(["word, word. ▁x"])[0].to_pylist() == [" word,", " word.", " ▁x"]
+
+
+def test_pairs_are_decided_at_their_border():
+    """Like the merge rules gone through, which few pairs need."""
+    fst = f.Transducer(f._model(f.model_path()))
+    rng, ids = random.Random(3), list(fst.id.values())
+    same = [i for i in ids if set(fst.pieces[i]) <= set("▁ aetns=-")]
+    pairs = [(rng.choice(k), rng.choice(k)) for k in (ids, same) for _ in range(5000)] + [(i, f.POINTS + ord("中")) for i in same]
+    rules, walked = fst.stay_apart, []
+    want = [rules(fst._text(a), fst._text(b)) for a, b in pairs]
+    fst.stay_apart = lambda a, b: walked.append(a) or rules(a, b)
+    assert [fst._apart(a, b) for a, b in pairs] == want and True in want and False in want
+    walked.clear()
+    fst.encode("The merge rules were gone through for each pair of neighbours, of which there are many in a text of many words. " * 3)
+    assert len(walked) < 5

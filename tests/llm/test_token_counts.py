@@ -60,3 +60,21 @@ def test_unknown_change_is_refused(spark, tmp_path):
     with pytest.raises(Exception, match="unknown change"):
         r.apply("a", changes(spark, [("upsert", "s", "en", "1", 5)]))
     assert not r.committed("a") and state(r) == {}
+
+
+def test_counts_of_odd_texts_equal_the_libraries(spark):
+    import re
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from tickspark.llm import packing
+    from tickspark.llm.sentencepiece_fst import model_path
+
+    words, pieces = Tokenizer.from_file(packing.tokenizer_path()), sentencepiece.SentencePieceProcessor(model_file=model_path())
+    texts = [None, "", " ", "\t\n", " a  b ", "▁a ▁▁b a▁b", "word, word. Word\nWord", "é\U0001f600 ﬁ 東京", "<s> <0x41> <|endoftext|>", "=" * 77 + "\n" + "=" * 5, "x" * 300 + " ", "\x00\x01\x1c a"]
+    df = spark.createDataFrame([(str(i), "l", x) for i, x in enumerate(texts)], "source string, lang string, text string")
+    got = {int(r["source"]): tuple(r)[2:] for r in t.tokenized(df).collect()}
+    for i, x in enumerate(texts):
+        x = x or ""
+        assert got[i] == (len(re.findall(r"[^\x20\x09-\x0D]+", x)), len(words.encode(x, add_special_tokens=False).ids), len(pieces.encode(x))), texts[i]

@@ -31,6 +31,18 @@ def slices(texts: pa.Array, rows: int = ROWS, most: int = ROW_BYTES) -> Iterator
         yield at, (at := min(len(texts), at + rows, max(past, at + 1)))
 
 
+def content(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts, none null, one after the other, and where they start and the last ends."""
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    return np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def strings(words: pa.Array) -> list[str]:
+    """to_pylist of words, none null, without a step of Python for each."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 #: The caches of this worker, and what drops the encoders that hold them.
 _CACHES: weakref.WeakSet = weakref.WeakSet()
 ENCODERS: list[Callable[[], None]] = []

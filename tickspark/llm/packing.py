@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled
-from .idcache import BYTES, ENCODERS, IdCache, slices, trim
+from .idcache import BYTES, ENCODERS, IdCache, content, slices, strings, trim
 
 LENGTH = 4096
 END = 2
@@ -45,6 +45,8 @@ UNIT = 8
 FILLER = 64
 #: Letters below this code point have one composed form and one lower case of one letter.
 LATIN = "\u0180"
+#: Which bytes are ASCII white space.
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: Column generation ends when the bound shows it within this share of the optimum.
 GAP = 1e-3
 #: Pivots for each class that may pass without the gap becoming a tenth smaller.
@@ -104,9 +106,13 @@ class Encoder:
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """How many words, and how many ids without an end id, each text has."""
         words, ends = self._split(texts)
-        n = self.cache.counts(words.dictionary.to_pylist(), words.indices.to_numpy())
-        spaced = pc.count_substring_regex(texts.fill_null(""), r"[^\x20\x09-\x0D]+").to_numpy()
-        return spaced, np.diff(np.r_[0, np.cumsum(n)][np.r_[0, ends]])
+        n = self.cache.counts(strings(words.dictionary), words.indices.to_numpy())
+        raw, offsets = content(texts.fill_null(""))
+        word = np.r_[~SPACE[raw], False]
+        start = word.copy()
+        start[1:] &= ~word[:-1]
+        start[offsets] = word[offsets]
+        return np.diff(np.searchsorted(np.flatnonzero(start), offsets)), np.diff(np.r_[0, np.cumsum(n)][np.r_[0, ends]])
 
     @staticmethod
     def _split(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:

@@ -13,8 +13,9 @@ neighbours, so it is a weight too: an arc weighs 0 after a piece that it stays a
 One path into each position is then finite. Whether two pieces stay apart is found by the merge rules and kept in a table of
 fixed size, in which a pair may drive out another.
 
-No piece continues over the mark that starts a word, so inputs are composed word by word, and the ids of words are kept by
-each worker (``IdCache``). Words are composed and relaxed together, position by position, as arrays; a word of over ``LONG``
+No piece continues over the mark that starts a word, so inputs are composed word by word. With byte fallback they are also cut
+between two characters that stand side by side in no piece, such as a letter and a comma: no piece and no merge crosses
+that place, and fewer different words are left. The ids of words are kept by each worker (``IdCache``). Words are composed and relaxed together, position by position, as arrays; a word of over ``LONG``
 characters goes through the same steps alone. Models with a character map, user-defined pieces or pieces across words raise
 ValueError.
 
@@ -25,7 +26,6 @@ gives an empty result. Columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,13 +33,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .idcache import IdCache, slices
+from .idcache import IdCache, content, slices, strings
 
 MARK = "▁"
-WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Characters of a word that is relaxed alone; cells (words times positions) that are relaxed together.
 LONG, CELLS = 64, 1 << 17
 #: Places of the table of pairs of pieces.
@@ -105,8 +105,10 @@ class Transducer:
         self.unknown_weight = 10.0 - low
         self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kind, strict=True)]
         self._compile()
+        self.time = [-x for x in self.score]
+        self.edges: dict[int, tuple[bool, list, list] | None] = {}
         self.pair_key, self.pair_apart = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
-        self.cache = IdCache(self.shortest_of)
+        self.cache = IdCache(lambda words: self.shortest_of([self.normalise(w) for w in words]))
 
     def _compile(self) -> None:
         """The trie of the pieces: arcs as sorted (state, character) keys with their next states, and the piece of final states."""
@@ -135,6 +137,22 @@ class Transducer:
         self.weight = np.array([-x for x in self.score]) if self.type == UNIGRAM else np.zeros(len(self.score))
         self.lone = self.unknown_weight if self.type == UNIGRAM else 0.0
         self.normal = ((" ", MARK),)
+        # Which characters stand side by side in a piece: by classes, 0 for all characters that are in no longer piece.
+        chars = sorted({x for p in self.id if len(p) > 1 for x in p} | {MARK})
+        self.cls = np.zeros(0x110000, np.int32)
+        self.cls[[ord(x) for x in chars]] = np.arange(1, len(chars) + 1)
+        self.cls[[ord(x) for x, y in self.normal]] = self.cls[[ord(y) for x, y in self.normal]]
+        mark = self.cls[ord(MARK)]
+        self.beside = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        if self.byte:
+            for p in self.id:
+                at = self.cls[[ord(x) for x in p]]
+                self.beside[at[:-1], at[1:]] = True
+        else:
+            # Characters that are no piece give the unknown piece once in a row, so a word stays whole.
+            self.beside[:] = True
+            self.beside[:, mark] = False
+            self.beside[mark, mark] = True
 
     def stay_apart(self, left: str, right: str) -> bool:
         """Whether the merge rules leave these two neighbours as they are: best score first, then leftmost."""
@@ -152,25 +170,80 @@ class Transducer:
             i = best[1]
             s[i : i + 2] = [s[i] + s[i + 1]]
 
+    def _edges(self, number: int) -> tuple[bool, list, list] | None:
+        """What stands at both edges of a piece while the merge rules make it from its characters; None if they don't make it.
+
+        Whether each merge is worse than the one before, and the parts that end the piece and that start it, as (part, when it
+        is made, when it is merged), the time being the negative score of a merge.
+        """
+        found = self.edges.get(number, 0)
+        if found != 0:
+            return found
+        s, now, steady = list(self._text(number)), -math.inf, True
+        ends, starts = [[s[-1], now, math.inf]], [[s[0], now, math.inf]]
+        found = steady, ends, starts
+        while len(s) > 1:
+            at, best = -1, -1
+            for i in range(len(s) - 1):
+                k = self.id.get(s[i] + s[i + 1])
+                if k is not None and (at < 0 or self.score[k] > self.score[best]):
+                    at, best = i, k
+            if at < 0:
+                found = None
+                break
+            time = self.time[best]
+            found = steady, ends, starts = steady and time > now, ends, starts
+            now = time
+            for edge, here in ((ends, at == len(s) - 2), (starts, at == 0)):
+                if here:
+                    edge[-1][2] = time
+                    edge.append([self.pieces[best], time, math.inf])
+            s[at : at + 2] = [self.pieces[best]]
+        if number < POINTS:
+            self.edges[number] = found
+        return found
+
+    def _apart(self, left: int, right: int) -> bool:
+        """Whether the merge rules leave these neighbours as they are, or make the piece alone at the start (-1).
+
+        Only parts at their common border can be merged across it, and are, if they can before either goes into a merge of its
+        own piece. At equal times the leftmost is first; then, and where merges do not get worse, the rules are gone through.
+        """
+        b = self._edges(right)
+        if b is None or left < 0:
+            return b is not None
+        a = self._edges(left)
+        if a is None:
+            return False
+        clear = a[0] and b[0]
+        for x, made, gone in a[1] if clear else ():
+            for y, made_too, gone_too in b[2]:
+                k = self.id.get(x + y)
+                if k is not None:
+                    since, until = max(made, made_too, self.time[k]), min(gone, gone_too)
+                    if since < until:
+                        return False
+                    clear = clear and since > until
+        return clear or self.stay_apart(self._text(left), self._text(right))
+
     def _text(self, number: int) -> str:
         return chr(number - POINTS) if number >= POINTS else self.pieces[number]
 
     def _parted(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """For each pair of pieces, whether the merge rules leave it; anything may follow the start (-1)."""
+        """For each pair of pieces, whether the merge rules leave it; the start (-1) may be followed by any piece that they make."""
         key = (left + 1) << 22 | right
         place = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 21)).astype(np.int64)
         out = self.pair_apart[place]
-        miss = np.flatnonzero((self.pair_key[place] != key) & (left >= 0))
+        miss = np.flatnonzero(self.pair_key[place] != key)
         if len(miss):
             new, at = np.unique(key[miss], return_inverse=True)
-            apart = np.fromiter((self.stay_apart(self._text((k >> 22) - 1), self._text(k & 0x3FFFFF)) for k in new.tolist()), bool, len(new))
+            apart = np.fromiter((self._apart((k >> 22) - 1, k & 0x3FFFFF) for k in new.tolist()), bool, len(new))
             out[miss] = apart[at]
             first = place[miss]
             self.pair_apart[first], self.pair_key[first] = out[miss], -1
             # Pairs of one place: the last one written counts, for the key and then for its value.
             self.pair_key[first] = key[miss]
             self.pair_apart[first] = apart[np.searchsorted(new, self.pair_key[first])]
-        out[left < 0] = True
         return out
 
     def _relax(self, points: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -233,12 +306,12 @@ class Transducer:
                     piece = POINTS + ord(unit[i])
                 if piece >= 0:
                     weight = far[i] + (self.lone if piece >= POINTS else float(self.weight[piece]))
-                    if self.type == BPE and left >= 0:
+                    if self.type == BPE:
                         free = apart.get((left, piece))
                         if free is None:
                             if len(apart) > PAIRS:
                                 apart.clear()
-                            free = apart[left, piece] = self.stay_apart(self._text(left), self._text(piece))
+                            free = apart[left, piece] = self._apart(left, piece)
                         weight = weight if free else math.inf
                     if weight < far[j]:
                         far[j], last[j] = weight, piece
@@ -306,27 +379,33 @@ class Transducer:
             text = text.replace(x, y)
         return text
 
-    def units(self, text: str | None) -> list[str]:
-        """The words of a text with the marks in front of them."""
-        return WORD.findall((MARK if self.prefix else "") + self.normalise(text)) if text else []
-
-    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_all(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts one after the other, and where each text ends. Each different word is looked up once."""
         words, ends = self._split(texts)
-        flat, n = self.cache.ids(words.dictionary.to_pylist(), words.indices.to_numpy())
+        flat, n = self.cache.ids(strings(words.dictionary), words.indices.to_numpy())
         return flat, np.r_[0, np.cumsum(n)][ends]
 
-    def counts(self, texts: list[str | None]) -> np.ndarray:
+    def counts(self, texts: list[str | None] | pa.Array) -> np.ndarray:
         """How many ids each text has."""
         words, ends = self._split(texts)
-        n = self.cache.counts(words.dictionary.to_pylist(), words.indices.to_numpy())
+        n = self.cache.counts(strings(words.dictionary), words.indices.to_numpy())
         return np.diff(np.r_[0, np.cumsum(n)][np.r_[0, ends]])
 
-    def _split(self, texts: list[str | None]) -> tuple[pa.DictionaryArray, np.ndarray]:
-        """The words of all texts, and how many there are up to the end of each text."""
-        split = [self.units(t) for t in texts]
-        words = pa.array([w for part in split for w in part], pa.string()).dictionary_encode()
-        return words, np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+    def _split(self, texts: list[str | None] | pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The words of all texts, not normalised yet, and how many there are up to the end of each text."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        texts = texts.fill_null("")
+        if self.prefix:
+            texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(" ", texts, ""))
+        raw, offsets = content(texts)
+        cls = self.cls[np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)]
+        starts = np.flatnonzero((raw & 0xC0) != 0x80)
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[starts[1:][~self.beside[cls[:-1], cls[1:]]]] = True
+        cut[offsets] = True
+        at = np.flatnonzero(cut).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(raw)))
+        return words.dictionary_encode(), np.searchsorted(at, offsets[1:])
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
@@ -363,7 +442,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             for s, e in slices(b.column(1)):
                 part = b.slice(s, e - s)
                 texts = part.column(1).to_pylist()
-                flat, ends = fst.encode_all(texts)
+                flat, ends = fst.encode_all(part.column(1))
                 offsets = np.r_[0, ends]
                 spans = list(zip(offsets.tolist(), ends.tolist(), strict=False))
                 bytes_before = np.r_[0, np.cumsum(is_byte[flat])]

@@ -132,7 +132,7 @@ def tokenized(docs: DataFrame) -> DataFrame:
         for b in batches:
             for at, past in slices(b.column(2)):
                 part = b.slice(at, past - at)
-                counts = *encoder.counts(part.column(2)), fst.counts(part.column(2).to_pylist())
+                counts = *encoder.counts(part.column(2)), fst.counts(part.column(2))
                 yield pa.record_batch([*part.columns[:2], *(pa.array(n, pa.int64()) for n in counts)], ["source", "lang", "w", "bpe", "piece"])
 
     rows = docs.select(F.col("source").cast("string"), F.col("lang").cast("string"), "text")
