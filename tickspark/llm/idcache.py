@@ -33,6 +33,7 @@ def slices(texts: pa.Array, rows: int = ROWS, most: int = ROW_BYTES) -> Iterator
 
 def content(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of texts, none null, one after the other, and where they start and the last ends."""
+    texts = texts.cast(pa.string())  # Spark may be set to send large strings
     _, offsets, data = texts.buffers()
     offsets = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
     return np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]

@@ -393,7 +393,7 @@ class Transducer:
 
     def _split(self, texts: list[str | None] | pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
         """The words of all texts, not normalised yet, and how many there are up to the end of each text."""
-        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
         texts = texts.fill_null("")
         if self.prefix:
             texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(" ", texts, ""))
