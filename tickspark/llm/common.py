@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,22 @@ def shared_dir(spark: SparkSession) -> str:
     return checkpoint_dir(spark)
 
 
+def give_back(spark: SparkSession) -> str | None:
+    """Has the driver's JVM return to the system what it has freed outside its heap; what it says, None if it has no such command.
+
+    Compiling and planning take such memory on hundreds of threads, and the C library would keep it for each of them.
+    """
+    try:
+        jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        args[2], args[3] = array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0)
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except (Py4JError, StopIteration):  # an older JVM, or one of another make
+        return None
+
+
 def settled(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends here and survives lost executors.
 
@@ -64,6 +81,7 @@ def settled(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     (df.hint("rebalance") if small else df).write.option("compression", "zstd").parquet(path)
+    give_back(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_settled_at"] = path
     return out

@@ -14,7 +14,8 @@ from .common import forget, settled
 
 def _large(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are tied to the least of the node and its neighbours."""
-    both = edges.select(F.col("u").alias("n"), F.col("v").alias("o")).union(edges.select(F.col("v").alias("n"), F.col("u").alias("o")))
+    u, v = F.col("u"), F.col("v")
+    both = edges.select(F.inline(F.array(F.struct(u.alias("n"), v.alias("o")), F.struct(v.alias("n"), u.alias("o")))))
     least = both.groupBy("n").agg(F.min("o").alias("m")).select("n", F.least("n", "m").alias("m"))
     return both.join(least, "n").where("o > n").select(F.col("o").alias("u"), F.col("m").alias("v")).distinct()
 
@@ -22,8 +23,8 @@ def _large(edges: DataFrame) -> DataFrame:
 def _small(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are tied to the least of these; edges run from u to the smaller v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    u, v, m = F.col("u"), F.col("v"), F.col("m")
+    return edges.join(least, "u").select(F.inline(F.array(F.struct(u.alias("u"), m.alias("v")), F.struct(v.alias("u"), m.alias("v"))))).where("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,8 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
     ordered = settled(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     while True:
-        before, ordered = ordered, settled(_small(_large(ordered)), "stars")
-        forget(before)
+        large = settled(_large(ordered), "stars")  # read several times below: in one plan, it would be planned as often
+        forget(ordered)
+        ordered = settled(_small(large), "stars")
+        forget(large)
         now = ordered.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == seen or now[0] == 0:
             return ordered.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -271,23 +271,26 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _fitting(pairs: DataFrame, of: DataFrame, load: Callable, fits: Callable) -> DataFrame:
-    """The pairs (u, v) that fit by what ``load`` makes of a row of ``of`` (node and other columns).
+    """The pairs (u, v), which are distinct, that fit by what ``load`` makes of a row of ``of`` (node and other columns).
 
     The row of u goes to its partners once, not with each; a node with over ``PARTNERS`` of them is dealt to several groups.
     Rows stream in order of u, so a task holds what it has of u besides the row in hand.
     """
-    hubs = pairs.groupBy("u").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("groups"))
-    sides = pairs.join(hubs, "u").select("u", F.pmod(F.xxhash64("v"), F.col("groups")).cast("int").alias("part"), F.col("v").alias("node"), F.lit(True).alias("right"))
+    ends = F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("n")), F.struct(F.col("v").alias("node"), F.lit(0).alias("n")))
+    nodes = settled(pairs.select(F.inline(ends)).groupBy("node").agg(F.sum("n").alias("partners")), "near-nodes", small=True)
+    hubs = nodes.where("partners > 0").select(F.col("node").alias("u"), F.ceil(F.col("partners") / PARTNERS).cast("int").alias("groups"))
+    part = F.pmod(F.xxhash64("v"), F.coalesce("groups", F.lit(1))).cast("int")
+    sides = pairs.join(hubs.where("groups > 1"), "u", "left").select("u", part.alias("part"), F.col("v").alias("node"), F.lit(True).alias("right"))
     heads = hubs.select("u", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.col("u").alias("node"), F.lit(False).alias("right"))
-    wanted = pairs.select(F.col("u").alias("wanted")).union(pairs.select("v")).distinct()
-    few = wanted.count() <= BROADCAST  # or else rows are shuffled to the nodes
+    wanted = nodes.select(F.col("node").alias("wanted"))
+    few = nodes.count() <= BROADCAST  # or else rows are shuffled to the nodes
     payload = of.join(F.broadcast(wanted) if few else wanted, F.col("node") == F.col("wanted"), "left_semi")
     rows = sides.union(heads).join(payload, "node").select("u", "part", "right", "node", *[c for c in of.columns if c != "node"])
-    rows = rows.repartition(shuffle_partitions(pairs.sparkSession), "u", "part").sortWithinPartitions("u", "part", "right")
+    rows = rows.repartition(shuffle_partitions(pairs.sparkSession), "u", "part").sortWithinPartitions("u", "part", "right", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []  # the rows of u; a repeated doc_id has several
-        key = None
+        key = done = None
         for b in batches:
             us, parts, rights, nodes = (b.column(c).to_pylist() for c in range(4))
             hit = []
@@ -297,8 +300,9 @@ def _fitting(pairs: DataFrame, of: DataFrame, load: Callable, fits: Callable) ->
                 own = load(*[c[k] for c in b.columns[4:]])
                 if not right:
                     held.append(own)
-                elif any(fits(x, own) for x in held):
+                elif (key, nodes[k]) != done and any(fits(x, own) for x in held):
                     hit.append(k)
+                    done = key, nodes[k]
             yield pa.record_batch({"u": pa.array([us[k] for k in hit], pa.int64()), "v": pa.array([nodes[k] for k in hit], pa.int64())})
 
     return settled(rows.mapInArrow(run, "u bigint, v bigint"), "near-copies", small=True)
@@ -309,7 +313,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = settled(pairs.distinct(), "near-pairs", small=True)
     firsts = sets.select(F.col("doc_id").alias("node"), "n", "often", "first")
     some = _fitting(pairs, firsts, lambda n, often, first: (n.as_py(), often.as_py(), first.values.to_numpy()), _possible)
-    return _fitting(some.distinct(), texts, lambda text: shingles(text.as_py()), _similar)
+    return _fitting(some, texts, lambda text: shingles(text.as_py()), _similar)
 
 
 def indexed(sets: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
