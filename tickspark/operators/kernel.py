@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass, field
 
@@ -52,57 +53,110 @@ class Order:
     limit_tick: int | None = None
     active: bool = True
 
-    def fires(self, tick: int) -> bool:
-        return self.order_type == "MARKET" or (tick <= self.limit_tick if self.side == "BUY" else tick >= self.limit_tick)
-
 
 @dataclass
 class Engine:
-    """place and cancel act between ticks; a tick fills the orders placed before it, in the order of their placement."""
+    """place and cancel act between ticks; a tick fills the orders placed before it, in the order of their placement.
+
+    Limits wait in heaps, so a tick costs by the orders that it fills and not by those that are open.
+    """
 
     initial_cash: float
     taker_bps: float
     spread_bps: float
     tick_size: float
     weighted: bool = True
-    orders: list[Order] = field(default_factory=list)
+    #: Orders that may be tracked at once; None: any number.
+    max_open: int | None = MAX_OPEN
     last_tick: int = 0
     ts_ms: int = 0
     fills: list[tuple] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self.account = Account(self.initial_cash)
+        self.orders: dict[int, Order] = {}  # by the number of their placement
+        self._placed = 0
+        self._market: list[int] = []
+        self._buys: list[tuple[int, int]] = []  # (-limit, number)
+        self._sells: list[tuple[int, int]] = []
+        self._cancelled: list[int] = []
 
     def place(self, order: Order) -> int:
         """0, or -2 if as many orders are tracked as the kernel can; cancelled ones count until the next tick."""
         if order.order_type == "LIMIT" and order.limit_tick is None:
             raise ValueError("a LIMIT order needs a price")
-        if len(self.orders) >= MAX_OPEN:
+        if self.max_open is not None and len(self.orders) >= self.max_open:
             return -2
-        self.orders.append(order)
+        self._track(order)
         return 0
 
+    def _track(self, order: Order) -> None:
+        self.orders[self._placed] = order
+        if not order.active:
+            self._cancelled.append(self._placed)
+        else:
+            self._wait(self._placed, order)
+        self._placed += 1
+
+    def _wait(self, number: int, order: Order) -> None:
+        if order.order_type == "MARKET":
+            self._market.append(number)
+        elif order.side == "BUY":
+            heapq.heappush(self._buys, (-order.limit_tick, number))
+        else:
+            heapq.heappush(self._sells, (order.limit_tick, number))
+
     def cancel(self, order_seq: int) -> int:
-        for o in self.orders:
+        for n, o in self.orders.items():
             if o.active and o.order_seq == order_seq:
                 o.active = False
+                self._cancelled.append(n)
                 return 0
         return -1
 
     def step(self, ts_ms: int, tick: int) -> int:
         """The number of fills of this tick."""
         self.ts_ms, self.last_tick, done = ts_ms, tick, 0
-        for o in self.orders:
-            if o.active and o.fires(tick):
-                base = tick if o.order_type == "MARKET" else o.limit_tick
-                d = math.ceil(float(base) * (self.spread_bps / 10_000.0))
-                price = base + d if o.side == "BUY" else base - d
-                self.account.fill(o.side, o.qty_scaled, price, self.tick_size, self.taker_bps, self.weighted)
-                self.fills.append((o.order_seq, ts_ms, o.side, o.qty_scaled, price))
-                o.active, done = False, done + 1
-        self.orders = [o for o in self.orders if o.active]
+        if self._cancelled:
+            self._drop_cancelled()
+        due, self._market = self._market, []
+        while self._buys and tick <= -self._buys[0][0]:
+            due.append(heapq.heappop(self._buys)[1])
+        while self._sells and tick >= self._sells[0][0]:
+            due.append(heapq.heappop(self._sells)[1])
+        for n in sorted(due):
+            o = self.orders.pop(n, None)
+            if o is None:  # cancelled
+                continue
+            base = tick if o.order_type == "MARKET" else o.limit_tick
+            d = math.ceil(float(base) * (self.spread_bps / 10_000.0))
+            price = base + d if o.side == "BUY" else base - d
+            self.account.fill(o.side, o.qty_scaled, price, self.tick_size, self.taker_bps, self.weighted)
+            self.fills.append((o.order_seq, ts_ms, o.side, o.qty_scaled, price))
+            o.active, done = False, done + 1
         return done
 
+    def _drop_cancelled(self) -> None:
+        for n in self._cancelled:
+            del self.orders[n]
+        self._cancelled = []
+        if len(self._buys) + len(self._sells) > 2 * len(self.orders) + 64:  # most of what waits was cancelled
+            self._market, self._buys, self._sells = [], [], []
+            for n, o in self.orders.items():
+                self._wait(n, o)
+
+    def state(self) -> list:
+        """Account, last tick and tracked orders, as JSON can hold them."""
+        a = self.account
+        return [a.cash, a.position, a.average, a.realized, self.last_tick, self.ts_ms, [[o.order_seq, o.order_type, o.side, o.qty_scaled, o.limit_tick, o.active] for o in self.orders.values()]]
+
+    def restore(self, state: list) -> None:
+        """A new engine goes on from the state of another."""
+        cash, position, average, realized, self.last_tick, self.ts_ms, orders = state
+        self.account = Account(cash, position, average, realized)
+        for o in orders:
+            self._track(Order(*o))
+
     def snapshot(self) -> dict:
         a = self.account
         u = a.unrealized(self.last_tick, self.tick_size)

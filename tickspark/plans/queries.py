@@ -255,13 +255,6 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", "event_type", (F.col("event_id") + 1).alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("value").alias("price"), price_half_even(F.col("value"), TICK_SIZE).alias("price_tick"), ((k + 1) / 100).alias("qty"), side_of_maker(k % 2 == 1).alias("side"))
 
 
-def _drained(out: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over what is there now and gives the table that it wrote."""
-    path = scratch(out.sparkSession, name)
-    out.writeStream.format("parquet").option("path", f"{path}/table").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return out.sparkSession.read.schema(out.schema).parquet(f"{path}/table")
-
-
 def streaming_bucket_volume(spark: SparkSession, sf: str) -> DataFrame:
     """Every bucket once, by partial sums: events come in the order of event_id, which is not that of time."""
     path = scratch(spark, "buckets")
@@ -279,7 +272,9 @@ def streaming_engine(spark: SparkSession, sf: str) -> DataFrame:
     order = F.struct(F.lit("order").alias("kind"), (F.col("seq") * 4 + F.when(buy, 0).otherwise(1)).alias("order_seq"), F.lit("MARKET").alias("order_type"), F.when(buy, "BUY").otherwise("SELL").alias("side"), F.when(buy, 1_500_000).otherwise(750_000).cast("bigint").alias("qty_scaled"))
     rows = s.select("seq", "ts_ms", "price_tick", F.explode(F.when(buy | sell, F.array(tick, order)).otherwise(F.array(tick))).alias("x"))
     feed = rows.select(F.lit("run").alias("run_id"), F.lit("all").alias("symbol"), "x.kind", "seq", "ts_ms", "price_tick", "x.order_seq", "x.order_type", "x.side", "x.qty_scaled", none("bigint").alias("limit_tick"))
-    out = _drained(stream_engine.run(feed, RUN.initial_cash, RUN.taker_fee * 10_000, RUN.spread_bps, RUN.tick_size), "engine")
+    path = scratch(spark, "engine")
+    stream_engine.snapshot_tables(feed, f"{path}/table", f"{path}/state", RUN.initial_cash, RUN.taker_fee * 10_000, RUN.spread_bps, RUN.tick_size).awaitTermination()
+    out = stream_engine.read_snapshots(spark, f"{path}/table")
     return out.where("n_fills > 0").select("seq", "ts_ms", F.round(F.col("position") * 1e6).cast("long").alias("position_scaled"), money("cash"), F.round("avg_entry_price", 6).alias("average"), "n_fills")
 
 
