@@ -243,7 +243,8 @@ def _on_tick(engine, tick) -> int:
 
 
 def stateful_strategy(spark: SparkSession, sf: str) -> DataFrame:
-    s = strategy.run(ticks(spark, sf), configs(spark, [RUN]), _on_tick, every_tick=False, extra=("event_type", "price"))
+    """Without the kernel's cap on open orders, as in ``ledger_fold_final``: the rules' open orders grow with the run."""
+    s = strategy.run(ticks(spark, sf), configs(spark, [RUN]), _on_tick, every_tick=False, extra=("event_type", "price"), max_open=None)
     return s.select("run_id", F.round(F.col("position") * 1e6).cast("long").alias("position_scaled"), money("cash"), F.round("avg_entry_price", 6).alias("average"), F.round("realized_pnl", 6).alias("realized"), money("equity"))
 
 
